@@ -8,9 +8,10 @@ Jaccard similarity.  A text throws only darts up to a time that is expected to f
 doubles it while some are empty.
 
 Coordinates are joined in bands.  In each bucket all members are compared with the bucket's leader, and
-those that fail get a leader of their own with which all are compared again, until each member is like
-some leader: as many comparisons as members times leaders, never all pairs.  Comparisons are of the
-exact Jaccard similarity of the sets of shingles.
+those that fail get a leader of their own with which all are compared again.  What still waits after a
+few rounds goes on, by the same rounds, in buckets of rare shingles, which like texts must share.  There
+are as many comparisons as members times leaders, never all pairs.  Comparisons are of the exact
+Jaccard similarity of the sets of shingles.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm.common import cut, slices, text_array
@@ -29,6 +30,8 @@ from undula.llm.shingles import distinct, mix, shingles
 SIMILARITY = 0.8
 #: At 0.8, a pair is in no common bucket with probability (1 - 0.8**ROWS)**BANDS = 3.5e-4.
 BANDS, ROWS = 20, 5
+#: Rounds after which buckets with waiting members are crowded.
+CROWDED = 2
 U = np.uint64
 _STEP = 4
 
@@ -103,42 +106,79 @@ def _signed(bands: int, rows: int):
     return run
 
 
-def _alike(similarity: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_a", 1 << 20):
-            sets = [distinct(*shingles(text_array(part.column(c)))) for c in ("text_a", "text_b")]
-            good = []
-            for i in range(part.num_rows):
-                a, b = (v[at[i] : at[i + 1]] for v, _, at in sets)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
-            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        values, _, at = distinct(*shingles(text_array(part.column("text"))))
+        flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column("content"), flat], ["content", "shingles"])
+
+
+class _Comparer:
+    """Finds links by comparing members of buckets with leaders; remembers what was compared."""
+
+    def __init__(self, sets: DataFrame, similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.found: DataFrame | None = None
+        self.tried: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify the pairs (a, b) that weren't compared before."""
+        new = pairs.distinct()
+        new = cut(new if self.tried is None else new.join(self.tried, ["a", "b"], "left_anti"))
+        a = self.sets.select(F.col("content").alias("a"), F.col("shingles").alias("of_a"))
+        b = self.sets.select(F.col("content").alias("b"), F.col("shingles").alias("of_b"))
+        shared, every = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+        met = new.join(a, "a").join(b, "b").where(shared >= self.similarity * (every - shared) - 1e-9)
+        good = cut(met.select("a", "b"))
+        self.found = good if self.found is None else self.found.union(good)
+        self.tried = new if self.tried is None else self.tried.union(new)
+
+    def rounds(self, members: DataFrame, most: int | None = None) -> DataFrame:
+        """Compare all members (key, content) with leaders; returns those that wait after `most` rounds.
+
+        A member waits until it leads a bucket or is like one of the bucket's leaders.
+        """
+        waiting, k = members, 0
+        while not waiting.isEmpty() and (most is None or k < most):
+            leaders = cut(waiting.groupBy("key").agg(F.min("content").alias("leader")))
+            pairs = members.join(leaders, "key").where("content != leader")
+            self.compare(pairs.select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")))
+            led = waiting.join(leaders, "key").where("content != leader").select("key", "content", F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b"))
+            waiting, k = cut(led.join(self.found, ["a", "b"], "left_anti").select("key", "content")), k + 1
+        return waiting
+
+    def rare(self, contents: DataFrame) -> DataFrame:
+        """(key, content): the shingles of which two like texts of `contents` must share one.
+
+        With shingles ordered from rare to frequent, sets of a similarity of s or more share one of
+        the first n - ceil(s n) + 1, n being a set's size.
+        """
+        sets = self.sets.join(contents, "content").select("content", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+        held = cut(sets.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+        order = Window.partitionBy("content").orderBy(F.desc("df"), F.desc("key"))
+        # counted from the frequent end, so that shingles of one text alone needn't be joined
+        placed = sets.join(held, "key").withColumn("place", F.row_number().over(order))
+        return placed.where(F.col("place") >= F.ceil(self.similarity * F.col("n") - 1e-9)).select("key", "content")
 
 
 def links(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Verified pairs (a, b) of contents.  `texts`: content, keys; `rows`: content, text."""
-    members = cut(texts.select("content", F.explode("keys").alias("key")).join(texts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
-    waiting, found = members, None
-    while not waiting.isEmpty():
-        leaders = cut(waiting.groupBy("key").agg(F.min("content").alias("leader")))
-        pairs = members.join(leaders, "key").where("content != leader")
-        new = pairs.select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
-        if found is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")  # noqa: F821
-        new = cut(new)
-        wanted = cut(new.select(F.col("a").alias("content")).union(new.select("b")).distinct())
-        held = cut(rows.join(wanted, "content").dropDuplicates(["content"]))
-        a = held.select(F.col("content").alias("a"), F.col("text").alias("text_a"))
-        b = held.select(F.col("content").alias("b"), F.col("text").alias("text_b"))
-        good = cut(new.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_alike(similarity), "a binary, b binary"))
-        found = good if found is None else found.union(good)
-        tried = new if found is good else tried.union(new)  # noqa: F821
-        # a member waits on unless it leads its bucket or is like the leader
-        led = waiting.join(leaders, "key").where("content != leader")
-        waiting = cut(led.join(found.select(F.col("a").alias("leader"), F.col("b").alias("content")), ["leader", "content"], "left_anti").select("key", "content"))
-    return found if found is not None else texts.select(F.col("content").alias("a"), F.col("content").alias("b")).limit(0)
+    """Verified pairs (a, b) of contents.  `texts`: content, keys; `rows`: content, text.
+
+    Members of buckets that still wait after CROWDED rounds are in buckets of many unlike texts, such
+    as texts around one passage.  They and their fellows go on in buckets of rare shingles instead,
+    an exact prefix filter of the similarity, until none waits.
+    """
+    keys = texts.select("content", F.explode("keys").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    members = cut(keys.join(shared, "key").select("key", "content"))
+    wanted = cut(members.select("content").distinct())
+    sets = rows.join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>")
+    comparer = _Comparer(cut(sets.dropDuplicates(["content"])), similarity)
+    waiting = comparer.rounds(members, CROWDED)
+    if not waiting.isEmpty():
+        fellows = cut(members.join(cut(waiting.select("key").distinct()), "key").select("content").distinct())
+        comparer.rounds(cut(comparer.rare(fellows)))
+    return comparer.found if comparer.found is not None else texts.select(F.col("content").alias("a"), F.col("content").alias("b")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
