@@ -7,11 +7,11 @@ each coordinate keeps its earliest dart: two texts agree in one with the probabi
 Jaccard similarity.  A text throws only darts up to a time that is expected to fill all coordinates, and
 doubles it while some are empty.
 
-Coordinates are joined in bands.  In each bucket all members are compared with the bucket's leader, and
-those that fail get a leader of their own with which all are compared again.  What still waits after a
-few rounds goes on, by the same rounds, in buckets of rare shingles, which like texts must share.  There
-are as many comparisons as members times leaders, never all pairs.  Comparisons are of the exact
-Jaccard similarity of the sets of shingles.
+Coordinates are joined in bands.  A bucket of few texts is looked through in one task.  In a larger one
+all members are compared with the bucket's leader; those that are in other components then get a
+leader of their own, with which all of other components are compared, and so on: as many comparisons as
+members times leaders, never all pairs.  Comparisons are of the exact Jaccard similarity of the sets of
+shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm.common import cut, slices, text_array
@@ -30,8 +30,8 @@ from undula.llm.shingles import distinct, mix, shingles
 SIMILARITY = 0.8
 #: At 0.8, a pair is in no common bucket with probability (1 - 0.8**ROWS)**BANDS = 3.5e-4.
 BANDS, ROWS = 20, 5
-#: Rounds after which buckets with waiting members are crowded.
-CROWDED = 2
+#: Texts of a bucket that is looked through in one task, at most.
+SMALL = 128
 U = np.uint64
 _STEP = 4
 
@@ -113,72 +113,85 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("content"), flat], ["content", "shingles"])
 
 
-class _Comparer:
-    """Finds links by comparing members of buckets with leaders; remembers what was compared."""
-
-    def __init__(self, sets: DataFrame, similarity: float):
-        self.sets, self.similarity = sets, similarity
-        self.found: DataFrame | None = None
-        self.tried: DataFrame | None = None
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Verify the pairs (a, b) that weren't compared before."""
-        new = pairs.distinct()
-        new = cut(new if self.tried is None else new.join(self.tried, ["a", "b"], "left_anti"))
-        a = self.sets.select(F.col("content").alias("a"), F.col("shingles").alias("of_a"))
-        b = self.sets.select(F.col("content").alias("b"), F.col("shingles").alias("of_b"))
-        shared, every = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-        met = new.join(a, "a").join(b, "b").where(shared >= self.similarity * (every - shared) - 1e-9)
-        good = cut(met.select("a", "b"))
-        self.found = good if self.found is None else self.found.union(good)
-        self.tried = new if self.tried is None else self.tried.union(new)
-
-    def rounds(self, members: DataFrame, most: int | None = None) -> DataFrame:
-        """Compare all members (key, content) with leaders; returns those that wait after `most` rounds.
-
-        A member waits until it leads a bucket or is like one of the bucket's leaders.
-        """
-        waiting, k = members, 0
-        while not waiting.isEmpty() and (most is None or k < most):
-            leaders = cut(waiting.groupBy("key").agg(F.min("content").alias("leader")))
-            pairs = members.join(leaders, "key").where("content != leader")
-            self.compare(pairs.select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")))
-            led = waiting.join(leaders, "key").where("content != leader").select("key", "content", F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b"))
-            waiting, k = cut(led.join(self.found, ["a", "b"], "left_anti").select("key", "content")), k + 1
-        return waiting
-
-    def rare(self, contents: DataFrame) -> DataFrame:
-        """(key, content): the shingles of which two like texts of `contents` must share one.
-
-        With shingles ordered from rare to frequent, sets of a similarity of s or more share one of
-        the first n - ceil(s n) + 1, n being a set's size.
-        """
-        sets = self.sets.join(contents, "content").select("content", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-        held = cut(sets.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-        order = Window.partitionBy("content").orderBy(F.desc("df"), F.desc("key"))
-        # counted from the frequent end, so that shingles of one text alone needn't be joined
-        placed = sets.join(held, "key").withColumn("place", F.row_number().over(order))
-        return placed.where(F.col("place") >= F.ceil(self.similarity * F.col("n") - 1e-9)).select("key", "content")
-
-
-def links(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Verified pairs (a, b) of contents.  `texts`: content, keys; `rows`: content, text.
-
-    Members of buckets that still wait after CROWDED rounds are in buckets of many unlike texts, such
-    as texts around one passage.  They and their fellows go on in buckets of rare shingles instead,
-    an exact prefix filter of the similarity, until none waits.
+def _within(similarity: float):
+    """Links within each run of rows of one group: all texts of a group end up compared or connected."""
+
+    def linked(contents: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+        root, out = list(range(len(sets))), []
+        for j in range(len(sets)):
+            for i in range(j):
+                if root[i] == root[j]:
+                    continue
+                a, b = sets[i], sets[j]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+                    continue
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                if shared >= similarity * (len(a) + len(b) - shared) - 1e-9:
+                    out.append((contents[i], contents[j]))
+                    old, new = root[j], root[i]
+                    root = [new if r == old else r for r in root]
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, contents, sets, out = None, [], [], []
+        for batch in batches:
+            values, at = np.asarray(batch.column("shingles").flatten()), np.concatenate(([0], np.cumsum(batch.column("shingles").value_lengths().to_numpy())))
+            for i, (group, content) in enumerate(zip(batch.column("group").to_pylist(), batch.column("content").to_pylist(), strict=True)):
+                if group != now:
+                    out += linked(contents, sets)
+                    now, contents, sets = group, [], []
+                contents.append(content)
+                sets.append(values[at[i] : at[i + 1]].copy())
+        out += linked(contents, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    a = sets.select(F.col("content").alias("a"), F.col("shingles").alias("of_a"))
+    b = sets.select(F.col("content").alias("b"), F.col("shingles").alias("of_b"))
+    shared, every = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    return pairs.join(a, "a").join(b, "b").where(shared >= similarity * (every - shared) - 1e-9).select("a", "b")
+
+
+def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
+    """Links (a, b) that connect all like contents that share a bucket.  `texts`: content, keys; `rows`: content, text.
+
+    A bucket of at most `small` texts is looked through in one task; equal buckets of several bands are
+    one.  In larger ones all members of other components than the leader's are compared with the
+    leader; a member waits for another turn until it has led or is in the component of a leader.
     """
     keys = texts.select("content", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = cut(keys.join(shared, "key").select("key", "content"))
+    sized = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(keys.join(sized, "key").select("key", "content", "n"))
     wanted = cut(members.select("content").distinct())
-    sets = rows.join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>")
-    comparer = _Comparer(cut(sets.dropDuplicates(["content"])), similarity)
-    waiting = comparer.rounds(members, CROWDED)
-    if not waiting.isEmpty():
-        fellows = cut(members.join(cut(waiting.select("key").distinct()), "key").select("content").distinct())
-        comparer.rounds(cut(comparer.rare(fellows)))
-    return comparer.found if comparer.found is not None else texts.select(F.col("content").alias("a"), F.col("content").alias("b")).limit(0)
+    sets = cut(rows.join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>").dropDuplicates(["content"]))
+    groups = members.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("content")).alias("all")).select("all").distinct()
+    groups = cut(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")))
+    within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
+    found = cut(within.mapInArrow(_within(similarity), "a binary, b binary"))
+    large = cut(members.where(F.col("n") > small).select("key", "content"))
+    waiting, roots = large, None
+    while not waiting.isEmpty():
+        roots = cut(components(found)) if roots is None else roots
+        placed = _rooted(large, roots)
+        # a third of the keys share an order of their members, so few leaders serve one group's buckets
+        order = F.struct(F.xxhash64("content", F.pmod("key", F.lit(3))).alias("order"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+        leaders = cut(_rooted(waiting, roots).groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
+        pairs = placed.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
+        found = cut(found.union(_compared(cut(pairs), sets, similarity)))
+        roots = cut(components(found))
+        leaders = _rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+        left = _rooted(waiting, roots).join(cut(leaders), "key").where("content != leader AND root != leader_root")
+        waiting = cut(left.select("key", "content"))
+    return found
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`members` with the component of each content; one without links is its own."""
+    return cut(members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
