@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 #: At 0.8, a pair is in no common bucket with probability (1 - 0.8**ROWS)**BANDS = 3.5e-4.
 BANDS, ROWS = 20, 5
 #: Texts of a bucket that is looked through in one task, at most.
-SMALL = 128
+SMALL = 512
 U = np.uint64
 _STEP = 4
 
@@ -172,20 +172,20 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
     groups = cut(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")))
     within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
     found = cut(within.mapInArrow(_within(similarity), "a binary, b binary"))
-    large = cut(members.where(F.col("n") > small).select("key", "content"))
-    waiting, roots = large, None
-    while not waiting.isEmpty():
-        roots = cut(components(found)) if roots is None else roots
-        placed = _rooted(large, roots)
-        # a third of the keys share an order of their members, so few leaders serve one group's buckets
-        order = F.struct(F.xxhash64("content", F.pmod("key", F.lit(3))).alias("order"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
-        leaders = cut(_rooted(waiting, roots).groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
-        pairs = placed.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
+    state = cut(members.where(F.col("n") > small).select("key", "content", F.lit(True).alias("waits")))
+    if state.isEmpty():
+        return found
+    state = _rooted(state, components(found))
+    # a third of the keys share an order of their members, so few leaders serve one group's buckets
+    order = F.struct(F.xxhash64("content", F.pmod("key", F.lit(3))).alias("order"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+    while not (waiting := state.where("waits")).isEmpty():
+        leaders = cut(waiting.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
+        pairs = state.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
         found = cut(found.union(_compared(cut(pairs), sets, similarity)))
-        roots = cut(components(found))
-        leaders = _rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
-        left = _rooted(waiting, roots).join(cut(leaders), "key").where("content != leader AND root != leader_root")
-        waiting = cut(left.select("key", "content"))
+        roots = components(found)
+        led = _rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+        met = _rooted(state.drop("root"), roots).join(led, "key", "left")
+        state = cut(met.select("key", "content", (F.col("waits") & F.coalesce(F.expr("content != leader AND root != leader_root"), F.lit(False))).alias("waits"), "root"))
     return found
 
 
