@@ -172,26 +172,30 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
     groups = cut(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")))
     within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
     found = cut(within.mapInArrow(_within(similarity), "a binary, b binary"))
-    state = cut(members.where(F.col("n") > small).select("key", "content", F.lit(True).alias("waits")))
-    if state.isEmpty():
+    crowded = members.where(F.col("n") > small).select("key", "content", F.lit(True).alias("waits"))
+    if crowded.isEmpty():
         return found
-    state = _rooted(state, components(found))
-    # a third of the keys share an order of their members, so few leaders serve one group's buckets
-    order = F.struct(F.xxhash64("content", F.pmod("key", F.lit(3))).alias("order"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
-    while not (waiting := state.where("waits")).isEmpty():
-        leaders = cut(waiting.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
+    state = cut(_rooted(crowded, components(found)))
+    # half of the keys share an order of their members, so few leaders serve one group's buckets
+    order = F.struct(F.xxhash64("content", F.pmod("key", F.lit(2))).alias("order"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+    while True:
+        leaders = cut(state.where("waits").groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
         pairs = state.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
         found = cut(found.union(_compared(cut(pairs), sets, similarity)))
         roots = components(found)
-        led = _rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
-        met = _rooted(state.drop("root"), roots).join(led, "key", "left")
-        state = cut(met.select("key", "content", (F.col("waits") & F.coalesce(F.expr("content != leader AND root != leader_root"), F.lit(False))).alias("waits"), "root"))
-    return found
+        led = cut(_rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root")))
+        left = F.col("waits") & (F.col("content") != F.col("leader")) & (F.col("root") != F.col("leader_root"))
+        state = cut(_rooted(state.drop("root"), roots).join(led, "key").select("key", "content", left.alias("waits"), "root"))
+        # keys in which nobody waits are done with
+        open_keys = cut(state.where("waits").select("key").distinct())
+        if open_keys.isEmpty():
+            return found
+        state = cut(state.join(open_keys, "key"))
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """`members` with the component of each content; one without links is its own."""
-    return cut(members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content")))
+    return members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
