@@ -172,12 +172,14 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
     groups = cut(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")))
     within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
     found = cut(within.mapInArrow(_within(similarity), "a binary, b binary"))
-    crowded = members.where(F.col("n") > small).select("key", "content", F.lit(True).alias("waits"))
+    crowded = members.where(F.col("n") > small)
     if crowded.isEmpty():
         return found
+    # the text that shares most buckets with most others leads first: the original of many copies, say
+    weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")))
+    crowded = crowded.join(weights, "content").select("key", "content", "weight", F.lit(True).alias("waits"))
     state = cut(_rooted(crowded, components(found)))
-    # half of the keys share an order of their members, so few leaders serve one group's buckets
-    order = F.struct(F.xxhash64("content", F.pmod("key", F.lit(2))).alias("order"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+    order = F.struct((-F.col("weight")).alias("order"), F.xxhash64("content", F.pmod("key", F.lit(2))).alias("tie"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
     while True:
         leaders = cut(state.where("waits").groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
         pairs = state.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
@@ -185,7 +187,7 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
         roots = components(found)
         led = cut(_rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root")))
         left = F.col("waits") & (F.col("content") != F.col("leader")) & (F.col("root") != F.col("leader_root"))
-        state = cut(_rooted(state.drop("root"), roots).join(led, "key").select("key", "content", left.alias("waits"), "root"))
+        state = cut(_rooted(state.drop("root"), roots).join(led, "key").select("key", "content", "weight", left.alias("waits"), "root"))
         # keys in which nobody waits are done with
         open_keys = cut(state.where("waits").select("key").distinct())
         if open_keys.isEmpty():
