@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undula.functions.draws import uniform
 from undula.operators.entropy import sample_entropy
-from undula.operators.transforms import BY_TIME
+from undula.operators.transforms import by_time
 
 
 def indices(signals: DataFrame, p: float, reps: int, seed: int) -> DataFrame:
@@ -27,7 +27,7 @@ def indices(signals: DataFrame, p: float, reps: int, seed: int) -> DataFrame:
 
 def resample(signals: DataFrame, p: float, reps: int, seed: int) -> DataFrame:
     """(signal_id, rep, timestamp, value): the replicates, in order of timestamp 0, 1, 2, ..."""
-    points = signals.select("signal_id", (F.row_number().over(BY_TIME) - 1).cast("bigint").alias("idx"), "value")
+    points = signals.select("signal_id", (F.row_number().over(by_time()) - 1).cast("bigint").alias("idx"), "value")
     return indices(signals, p, reps, seed).join(points, ["signal_id", "idx"]).select("signal_id", "rep", F.col("k").cast("double").alias("timestamp"), "value")
 
 

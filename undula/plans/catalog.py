@@ -120,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mse_objective_grid": lambda s, d: _shown(_mse(s, d), "value"),
     "eff_objective_grid": lambda s, d: _shown(_efficiency(s, d), "value"),
     "best_params_grid": lambda s, d: _shown(_mse(s, d).where(~F.isnan("value")).agg(F.min_by(F.struct("m", "r"), F.struct("value", "m", "r")).alias("best"), F.min("value").alias("value")).select("best.m", "best.r", "value"), "value"),
-    "sqdist_xx": lambda s, d: _row_sums(_distances(s, d), "d2"),
+    "sqdist_xx": lambda s, d: _row_sums(_distances(s, d), "d2").withColumn("total", F.round("total", 3)),
     "sqdist_xy": _centres,
     "rbf_kernel": lambda s, d: _row_sums(gaussian.rbf(_distances(s, d), 2.0), "k"),
     "jitter_kernel": lambda s, d: _row_sums(gaussian.jitter(gaussian.rbf(_distances(s, d), 2.0), 0.1), "k"),
@@ -208,7 +208,7 @@ ORACLE_SQL: dict[str, str] = {
     "mse_objective_grid": f"SELECT round(value, 6) + 0.0 AS value, m, r FROM ({_MSE}) q",
     "eff_objective_grid": "SELECT round(value, 6) + 0.0 AS value, m, r FROM (" + " UNION ALL ".join(f"SELECT * FROM {_eff_sql(m, r)} g{i}" for i, (m, r) in enumerate(GRID)) + ") q",
     "best_params_grid": f"SELECT m, r, round(value, 6) + 0.0 AS value FROM ({_MSE}) q WHERE value IS NOT NULL ORDER BY value, m, r LIMIT 1",
-    "sqdist_xx": f"WITH {_D2} " + _SUMS.format("d2"),
+    "sqdist_xx": f"WITH {_D2} " + _SUMS.format("d2").replace(", 6)", ", 3)"),
     "sqdist_xy": "WITH e AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings), m AS (SELECT label, k, avg(CAST(x AS DOUBLE)) AS mean FROM e GROUP BY label, k) SELECT e.vec_id AS i, round(sum((CAST(e.x AS DOUBLE) - m.mean) * (CAST(e.x AS DOUBLE) - m.mean)), 6) + 0.0 AS d2 FROM e JOIN m ON e.label = m.label AND e.k = m.k GROUP BY e.vec_id",
     "rbf_kernel": f"WITH {_D2} " + _SUMS.format("exp(-d2 / 8.0)"),
     "jitter_kernel": f"WITH {_D2} " + _SUMS.format("exp(-d2 / 8.0) + CASE WHEN i = j THEN 0.1 ELSE 0 END"),
