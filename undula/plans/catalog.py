@@ -31,9 +31,9 @@ def _shown(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each signal's points as vectors (value / 100, point number)."""
+    """Each signal's points as vectors (scaled value, point number)."""
     rows = transforms.reindex(_signals(spark, sf_dir))
-    return rows.select(F.col("signal_id").alias("group"), F.col("timestamp").cast("bigint").alias("id"), F.array(F.col("value") / 100, F.col("timestamp")).alias("vector"))
+    return rows.select(F.col("signal_id").alias("group"), F.col("timestamp").cast("bigint").alias("id"), F.array(F.col("value") * F.lit(0.010317), F.col("timestamp")).alias("vector"))
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mse_objective_grid": lambda s, d: _shown(_mse(s, d), "value"),
     "eff_objective_grid": lambda s, d: _shown(_efficiency(s, d), "value"),
     "best_params_grid": lambda s, d: _shown(_mse(s, d).where(~F.isnan("value")).agg(F.min_by(F.struct("m", "r"), F.struct("value", "m", "r")).alias("best"), F.min("value").alias("value")).select("best.m", "best.r", "value"), "value"),
-    "sqdist_xx": lambda s, d: _row_sums(_distances(s, d), "d2").withColumn("total", F.round("total", 3)),
+    "sqdist_xx": lambda s, d: _distances(s, d).groupBy(F.col("group").alias("signal_id"), "i").agg((F.round(F.sum("d2"), 3) + F.lit(0.0)).alias("total")),
     "sqdist_xy": _centres,
     "rbf_kernel": lambda s, d: _row_sums(gaussian.rbf(_distances(s, d), 2.0), "k"),
     "jitter_kernel": lambda s, d: _row_sums(gaussian.jitter(gaussian.rbf(_distances(s, d), 2.0), 0.1), "k"),
@@ -186,7 +186,7 @@ def _eff_sql(m: int, r: float) -> str:
 
 
 _MSE = " UNION ALL ".join(f"SELECT * FROM {_mse_sql(m, r)} g{i}" for i, (m, r) in enumerate(GRID))
-_D2 = f"{_SIGNALS}, pts AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY timestamp, value) - 1 AS i, value / 100 AS v FROM signals), d AS (SELECT a.signal_id, a.i, b.i AS j, (a.v - b.v) * (a.v - b.v) + CAST((a.i - b.i) * (a.i - b.i) AS DOUBLE) AS d2 FROM pts a JOIN pts b ON a.signal_id = b.signal_id)"
+_D2 = f"{_SIGNALS}, pts AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY timestamp, value) - 1 AS i, value * CAST(0.010317 AS DOUBLE) AS v FROM signals), d AS (SELECT a.signal_id, a.i, b.i AS j, (a.v - b.v) * (a.v - b.v) + CAST((a.i - b.i) * (a.i - b.i) AS DOUBLE) AS d2 FROM pts a JOIN pts b ON a.signal_id = b.signal_id)"
 _SUMS = "SELECT signal_id, CAST(i AS BIGINT) AS i, round(sum({}), 6) + 0.0 AS total FROM d GROUP BY signal_id, i"
 
 ORACLE_SQL: dict[str, str] = {
