@@ -14,17 +14,25 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, looped: bool = False) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so that later stages survive lost executors.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs)
     is a temporary one made.
+
+    A checkpointed table keeps its plan's estimate of size, a join's being the product of its sides': in a
+    loop the number's digits double with each join, until planning takes minutes and gigabytes.  With
+    `looped` the table forgets the estimate.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="undula-checkpoint-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    if not looped:
+        return done
+    rows = done._jdf.queryExecution().toRdd()
+    return type(done)(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
 
 
 def text_array(array: pa.Array | pa.ChunkedArray) -> pa.Array:

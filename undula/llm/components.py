@@ -15,19 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     ones (large star), then to its smaller ones (small star).  Both keep components and never make
     more edges; each round's table is cut off in the checkpoint folder.  A self-loop is dropped.
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), looped=True)
     mark = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a table of its own, so that a join on a node of very many neighbours can be split
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), looped=True)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), looped=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        pairs = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), looped=True)
         seen = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return cut(roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
+    return cut(roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), looped=True)

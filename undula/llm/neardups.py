@@ -176,23 +176,23 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
     if crowded.isEmpty():
         return found
     # the text that shares most buckets with most others leads first: the original of many copies, say
-    weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")))
+    weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")), looped=True)
     crowded = crowded.join(weights, "content").select("key", "content", "weight", F.lit(True).alias("waits"))
-    state = cut(_rooted(crowded, components(found)))
+    state = cut(_rooted(crowded, components(found)), looped=True)
     order = F.struct((-F.col("weight")).alias("order"), F.xxhash64("content", F.pmod("key", F.lit(2))).alias("tie"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
     while True:
-        leaders = cut(state.where("waits").groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"))
+        leaders = cut(state.where("waits").groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"), looped=True)
         pairs = state.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
-        found = cut(found.union(_compared(cut(pairs), sets, similarity)))
+        found = cut(found.union(_compared(cut(pairs), sets, similarity)), looped=True)
         roots = components(found)
-        led = cut(_rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root")))
+        led = cut(_rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root")), looped=True)
         left = F.col("waits") & (F.col("content") != F.col("leader")) & (F.col("root") != F.col("leader_root"))
-        state = cut(_rooted(state.drop("root"), roots).join(led, "key").select("key", "content", "weight", left.alias("waits"), "root"))
+        state = cut(_rooted(state.drop("root"), roots).join(led, "key").select("key", "content", "weight", left.alias("waits"), "root"), looped=True)
         # keys in which nobody waits are done with
-        open_keys = cut(state.where("waits").select("key").distinct())
+        open_keys = cut(state.where("waits").select("key").distinct(), looped=True)
         if open_keys.isEmpty():
             return found
-        state = cut(state.join(open_keys, "key"))
+        state = cut(state.join(open_keys, "key"), looped=True)
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
