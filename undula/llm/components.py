@@ -11,13 +11,12 @@ from undula.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of `edges` (a, b): root is the least node of the component.
 
-    Alternates two steps until nothing changes: each node tells its least neighbour to its greater
+    Alternates two steps until all nodes hang on a root: each node tells its least neighbour to its greater
     ones (large star), then to its smaller ones (small star).  Both keep components and never make
     more edges; each round's table is cut off in the checkpoint folder.  A self-loop is dropped.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), looped=True)
-    mark = None
-    while True:
+    while not _stars(pairs):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a table of its own, so that a join on a node of very many neighbours can be split
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), looped=True)
@@ -25,9 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), looped=True)
-        seen = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return cut(roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), looped=True)
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each u has one v, which isn't itself a u."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()

@@ -8,10 +8,11 @@ Jaccard similarity.  A text throws only darts up to a time that is expected to f
 doubles it while some are empty.
 
 Coordinates are joined in bands.  A bucket of few texts is looked through in one task.  In a larger one
-all members are compared with the bucket's leader; those that are in other components then get a
-leader of their own, with which all of other components are compared, and so on: as many comparisons as
-members times leaders, never all pairs.  Comparisons are of the exact Jaccard similarity of the sets of
-shingles.
+all members are compared with the bucket's head, the text that shares most buckets; then all that are not
+in the head's component lead in turn, a block of them at a time, against all members of other components.
+Of two like texts in different components one at least is not in the head's, so it leads and finds the
+other: no link between components is lost, and comparisons are members times leaders.  Comparisons are of
+the exact Jaccard similarity of the sets of shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm.common import cut, slices, text_array
@@ -148,20 +149,76 @@ def _within(similarity: float):
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    a = sets.select(F.col("content").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("content").alias("b"), F.col("shingles").alias("of_b"))
-    shared, every = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return pairs.join(a, "a").join(b, "b").where(shared >= similarity * (every - shared) - 1e-9).select("a", "b")
+def _led(similarity: float):
+    """Links between the leaders and the members of each run of rows of one group, leaders first.
+
+    A member is linked to one leader of each component that it is alike to, so links are no more than
+    members and leaders.  Holds the leaders' sets (a block of them) and one batch of members.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leading, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            values, at = np.asarray(batch.column("shingles").flatten()), np.concatenate(([0], np.cumsum(batch.column("shingles").value_lengths().to_numpy())))
+            columns = [batch.column(c).to_pylist() for c in ("group", "leads", "content", "root")]
+            for i, (group, leads, content, root) in enumerate(zip(*columns, strict=True)):
+                own = values[at[i] : at[i + 1]]
+                if group != now:
+                    now, leading, index = group, [], None
+                if leads:
+                    leading.append((content, root, own.copy()))
+                    continue
+                if index is None:
+                    index = _Leaders(leading, similarity)
+                for leader in index.alike(content, root, own):
+                    a.append(leader)
+                    b.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+class _Leaders:
+    """The shingles of a block of leaders, each with the leaders that hold it."""
+
+    def __init__(self, leading: list[tuple[bytes, bytes, np.ndarray]], similarity: float) -> None:
+        self.contents, self.similarity = [x[0] for x in leading], similarity
+        self.sizes = np.array([len(x[2]) for x in leading], np.int64)
+        flat = np.concatenate([x[2] for x in leading])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(leading)), self.sizes)[order]
+        self.values, first = np.unique(flat[order], return_index=True)
+        self.ends = np.append(first, len(flat))
+        self.number: dict[bytes, int] = {}  # of a component, as far as known here
+        self.component = np.array([self.number.setdefault(x[1], len(self.number)) for x in leading])
+
+    def alike(self, content: bytes, root: bytes, own: np.ndarray) -> list[bytes]:
+        """A like leader of each other component; these components become one with the member's."""
+        place = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        place = place[self.values[place] == own]
+        n = self.ends[place + 1] - self.ends[place]
+        at = np.repeat(self.ends[place] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else place
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        mine = self.number.setdefault(root, len(self.number))
+        like = (shared >= self.similarity * (self.sizes + len(own) - shared) - 1e-9) & (self.component != mine)
+        if not like.any():
+            return []
+        found, first = np.unique(self.component[like], return_index=True)
+        self.component[np.isin(self.component, found)] = mine
+        for known, number in self.number.items():
+            if number in found:
+                self.number[known] = mine
+        return [self.contents[i] for i in np.flatnonzero(like)[first]]
 
 
 def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
     """Links (a, b) that connect all like contents that share a bucket.  `texts`: content, keys; `rows`: content, text.
 
     A bucket of at most `small` texts is looked through in one task; equal buckets of several bands are
-    one.  In larger ones all members of other components than the leader's are compared with the
-    leader; a member waits for another turn until it has led or is in the component of a leader.
+    one.  In larger ones the heads lead first and then blocks of `small` of those members that haven't led
+    and aren't in their head's component; members are dealt to tasks by about as many, each with the whole
+    block of leaders.
     """
     keys = texts.select("content", F.explode("keys").alias("key"))
     sized = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -175,24 +232,37 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
     crowded = members.where(F.col("n") > small)
     if crowded.isEmpty():
         return found
-    # the text that shares most buckets with most others leads first: the original of many copies, say
-    weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")), looped=True)
-    crowded = crowded.join(weights, "content").select("key", "content", "weight", F.lit(True).alias("waits"))
-    state = cut(_rooted(crowded, components(found)), looped=True)
-    order = F.struct((-F.col("weight")).alias("order"), F.xxhash64("content", F.pmod("key", F.lit(2))).alias("tie"), F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+    weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")))
+    crowded = cut(crowded.join(weights, "content").select("key", "content", "n", "weight"))
+    order = F.struct((-F.col("weight")).alias("order"), F.col("content").alias("head"))
+    heads = cut(crowded.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.head"))
+    roots = components(found)
+    state = crowded.join(heads, "key").select("*", (F.col("content") == F.col("head")).alias("leads"), F.lit(False).alias("led"))
+    state = cut(_rooted(state, roots), looped=True)
+    chunks = F.ceil(F.col("n") / small).cast("int")
+    turn = Window.partitionBy("key").orderBy(F.desc("weight"), "content")
     while True:
-        leaders = cut(state.where("waits").groupBy("key").agg(F.min(order).alias("first")).select("key", "first.leader", "first.leader_root"), looped=True)
-        pairs = state.join(leaders, "key").where("root != leader_root").select(F.least("leader", "content").alias("a"), F.greatest("leader", "content").alias("b")).distinct()
-        found = cut(found.union(_compared(cut(pairs), sets, similarity)), looped=True)
+        leaders = state.where("leads")
+        block = leaders.select("key", "content", "root", "leads", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        # where all leaders are in one component, its members have nothing to look for
+        spread = leaders.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        others = state.join(spread, "key").where("low != high or root != low")
+        others = others.select("key", "content", "root", F.lit(False).alias("leads"), F.pmod(F.xxhash64("content"), chunks).cast("int").alias("chunk"))
+        dealt = cut(block.union(others).select(F.xxhash64("key", "chunk").alias("group"), "leads", "content", "root"), looped=True)
+        compared = dealt.join(sets, "content").repartition("group").sortWithinPartitions("group", F.desc("leads"), "content")
+        # what was connected before is said in as few edges as there are nodes
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = cut(known.union(compared.mapInArrow(_led(similarity), "a binary, b binary")), looped=True)
         roots = components(found)
-        led = cut(_rooted(leaders.select("key", F.col("leader").alias("content")), roots).select("key", F.col("content").alias("leader"), F.col("root").alias("leader_root")), looped=True)
-        left = F.col("waits") & (F.col("content") != F.col("leader")) & (F.col("root") != F.col("leader_root"))
-        state = cut(_rooted(state.drop("root"), roots).join(led, "key").select("key", "content", "weight", left.alias("waits"), "root"), looped=True)
-        # keys in which nobody waits are done with
-        open_keys = cut(state.where("waits").select("key").distinct(), looped=True)
-        if open_keys.isEmpty():
+        state = cut(_rooted(state.withColumn("led", F.expr("led or leads")).drop("root", "leads"), roots), looped=True)
+        main = state.where("content = head").select("key", F.col("root").alias("main"))
+        waiting = state.join(main, "key").where("not led and root != main").select("key", "content", F.row_number().over(turn).alias("turn"))
+        following = cut(waiting.where(F.col("turn") <= small).select("key", "content", F.lit(True).alias("next")), looped=True)
+        if following.isEmpty():
             return found
-        state = cut(state.join(open_keys, "key"), looped=True)
+        # buckets in which nobody waits are done with
+        state = state.join(following.select("key").distinct(), "key").join(following, ["key", "content"], "left")
+        state = cut(state.withColumn("leads", F.coalesce("next", F.lit(False))).drop("next"), looped=True)
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
