@@ -71,12 +71,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
             if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 old, new = root[b], root[a]
                 root = {k: min(old, new) if v in (old, new) else v for k, v in root.items()}
-    original = neardups.links
-    monkeypatch.setattr(neardups, "links", lambda t, r, s: original(t, r, s, small))
+    original = neardups.linked_components
+    monkeypatch.setattr(neardups, "linked_components", lambda t, r, s: original(t, r, s, small))
     got = {r.doc_id: r.class_id for r in neardups.near_duplicates(table(spark, docs.items())).collect()}
     assert got == root
 
 
+def test_leaders_link_a_member_once_to_each_other_component():
+    at = lambda a, b: np.arange(a, b, dtype=np.int64)
+    block = neardups._Leaders([(b"p", b"p", at(0, 100)), (b"q", b"q", at(5, 105)), (b"r", b"r", at(50, 150)), (b"s", b"s", at(500, 600))], 0.8)
+    assert block.alike(b"x", b"x", at(2, 102)) == [b"p", b"q"]
+    assert block.alike(b"y", b"y", at(2, 102)) == [b"p"]  # p and q are one by now
+    assert block.alike(b"z", b"x", at(2, 102)) == [] and block.alike(b"w", b"w", at(900, 950)) == []
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = neardups.near_duplicates(odd(spark)).collect()
     assert len(got) == 9 and {r.class_id for r in got if r.doc_id == 1 or r.doc_id is None} == {1}

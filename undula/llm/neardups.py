@@ -212,8 +212,8 @@ class _Leaders:
         return [self.contents[i] for i in np.flatnonzero(like)[first]]
 
 
-def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
-    """Links (a, b) that connect all like contents that share a bucket.  `texts`: content, keys; `rows`: content, text.
+def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
+    """The components (node, root) of all links between like contents that share a bucket.  `texts`: content, keys; `rows`: content, text.
 
     A bucket of at most `small` texts is looked through in one task; equal buckets of several bands are
     one.  In larger ones the heads lead first and then blocks of `small` of those members that haven't led
@@ -230,13 +230,13 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
     within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
     found = cut(within.mapInArrow(_within(similarity), "a binary, b binary"))
     crowded = members.where(F.col("n") > small)
+    roots = components(found)
     if crowded.isEmpty():
-        return found
+        return roots
     weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")))
     crowded = cut(crowded.join(weights, "content").select("key", "content", "n", "weight"))
     order = F.struct((-F.col("weight")).alias("order"), F.col("content").alias("head"))
     heads = cut(crowded.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.head"))
-    roots = components(found)
     state = crowded.join(heads, "key").select("*", (F.col("content") == F.col("head")).alias("leads"), F.lit(False).alias("led"))
     state = cut(_rooted(state, roots), looped=True)
     chunks = F.ceil(F.col("n") / small).cast("int")
@@ -259,7 +259,7 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMA
         waiting = state.join(main, "key").where("not led and root != main").select("key", "content", F.row_number().over(turn).alias("turn"))
         following = cut(waiting.where(F.col("turn") <= small).select("key", "content", F.lit(True).alias("next")), looped=True)
         if following.isEmpty():
-            return found
+            return roots
         # buckets in which nobody waits are done with
         state = state.join(following.select("key").distinct(), "key").join(following, ["key", "content"], "left")
         state = cut(state.withColumn("leads", F.coalesce("next", F.lit(False))).drop("next"), looped=True)
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = own.select("id", _content(F.col("text")).alias("content"), "text").mapInArrow(_signed(bands, rows), "id bigint, content binary, keys array<bigint>")
     texts = cut(signed.groupBy("content").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
     by_content = own.select(_content(F.col("text")).alias("content"), "text")
-    roots = components(links(texts, by_content, similarity))
+    roots = linked_components(texts, by_content, similarity)
     classed = texts.select("content", "least").join(roots, F.col("content") == F.col("node"), "left")
     classed = cut(classed.select("content", "least", F.coalesce("root", "content").alias("root")))
     first = F.min(F.struct(F.col("least").isNull(), "least", "content")).alias("first")
