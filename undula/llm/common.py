@@ -3,36 +3,64 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
 
 
-def cut(df: DataFrame, looped: bool = False) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that later stages survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's spark.checkpoint.dir names, for all executors and the driver.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs)
-    is a temporary one made.
-
-    A checkpointed table keeps its plan's estimate of size, a join's being the product of its sides': in a
-    loop the number's digits double with each join, until planning takes minutes and gigabytes.  With
-    `looped` the table forgets the estimate.
+    Only where that is unset (tests, local runs) is a temporary one made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="undula-checkpoint-"))
-    done = df.checkpoint()
-    if not looped:
-        return done
-    rows = done._jdf.queryExecution().toRdd()
-    return type(done)(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder, so that later stages survive lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+class Tables:
+    """Named Parquet tables in the shared folder, for loops that cut their lineage in each turn.
+
+    Unlike checkpoints they have true sizes (a checkpoint keeps its plan's estimate, whose digits double
+    with each join in a loop), small files are read many to a task, and a table goes when it is replaced.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+        self.folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` as it is read from its table; the earlier table of this name is deleted afterwards."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables; what is yet to be computed mustn't read them."""
+        for path in [self.paths.pop(n) for n in names if n in self.paths]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*[n for n in self.paths if n not in names])
 
 
 def text_array(array: pa.Array | pa.ChunkedArray) -> pa.Array:

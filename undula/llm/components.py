@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut
+from undula.llm.common import Tables
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of `edges` (a, b): root is the least node of the component.
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(node, root) for all nodes of the written table `edges` (a, b): root is the least node of the component.
 
     Alternates two steps until all nodes hang on a root: each node tells its least neighbour to its greater
-    ones (large star), then to its smaller ones (small star).  Both keep components and never make
-    more edges; each round's table is cut off in the checkpoint folder.  A self-loop is dropped.
+    ones (large star), then to its smaller ones (small star).  Both keep components and never make more
+    edges.  Least neighbours are tables of their own, so that a join on a node of very many neighbours can
+    be split.  A self-loop is dropped.  The result stays in the table "least" of `tables`.
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), looped=True)
-    while not _stars(pairs):
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # a table of its own, so that a join on a node of very many neighbours can be split
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), looped=True)
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), looped=True)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), looped=True)
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return cut(roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), looped=True)
-
-
-def _stars(pairs: DataFrame) -> bool:
-    """Whether each u has one v, which isn't itself a u."""
-    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    ends = ends.union(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+        below = F.when(F.col("v") < F.col("u"), F.col("v"))
+        least = both.groupBy("u").agg(F.min(below).alias("low"), F.max(below).alias("high"), F.max(F.col("v") > F.col("u")).alias("leads"))
+        # in a star each node has one smaller neighbour, and no greater ones beside it
+        loose = F.col("low").isNotNull() & (F.col("leads") | (F.col("low") != F.col("high")))
+        least = tables.write(least.select(F.col("u").alias("node"), F.coalesce("low", "u").alias("root"), loose.alias("loose")), "least")
+        if least.where("loose").isEmpty():
+            return least.select("node", "root")
+        # the least neighbour of v for each greater u
+        large = tables.write(pairs.join(least.withColumnRenamed("node", "v"), "v").select("u", F.col("root").alias("v")), "large")
+        low = tables.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        hooked = F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u"))
+        pairs = tables.write(large.join(low, "u").select(hooked.alias("u"), F.col("m").alias("v")).distinct(), "pairs")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut, slices, text_array
+from undula.llm.common import Tables, slices, text_array
 from undula.llm.components import components
 from undula.llm.shingles import distinct, mix, shingles
 
@@ -220,49 +220,52 @@ def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, smal
     and aren't in their head's component; members are dealt to tasks by about as many, each with the whole
     block of leaders.
     """
+    tables = Tables(rows.sparkSession)
     keys = texts.select("content", F.explode("keys").alias("key"))
-    sized = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(keys.join(sized, "key").select("key", "content", "n"))
-    wanted = cut(members.select("content").distinct())
-    sets = cut(rows.join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>").dropDuplicates(["content"]))
+    sized = tables.write(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sized")
+    members = tables.write(keys.join(sized, "key").select("key", "content", "n"), "members")
+    wanted = tables.write(members.select("content").distinct(), "wanted")
+    sets = tables.write(rows.join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>").dropDuplicates(["content"]), "sets")
     groups = members.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("content")).alias("all")).select("all").distinct()
-    groups = cut(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")))
+    groups = tables.write(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")), "groups")
     within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
-    found = cut(within.mapInArrow(_within(similarity), "a binary, b binary"))
+    found = tables.write(within.mapInArrow(_within(similarity), "a binary, b binary"), "links")
     crowded = members.where(F.col("n") > small)
-    roots = components(found)
+    roots = components(found, tables)
     if crowded.isEmpty():
+        tables.keep("least")
         return roots
-    weights = cut(crowded.groupBy("content").agg(F.sum("n").alias("weight")))
-    crowded = cut(crowded.join(weights, "content").select("key", "content", "n", "weight"))
+    weights = tables.write(crowded.groupBy("content").agg(F.sum("n").alias("weight")), "weights")
+    crowded = tables.write(crowded.join(weights, "content").select("key", "content", "n", "weight"), "crowded")
     order = F.struct((-F.col("weight")).alias("order"), F.col("content").alias("head"))
-    heads = cut(crowded.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.head"))
+    heads = tables.write(crowded.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.head"), "heads")
     state = crowded.join(heads, "key").select("*", (F.col("content") == F.col("head")).alias("leads"), F.lit(False).alias("led"))
-    state = cut(_rooted(state, roots), looped=True)
+    state = tables.write(_rooted(state, roots), "state")
     chunks = F.ceil(F.col("n") / small).cast("int")
     turn = Window.partitionBy("key").orderBy(F.desc("weight"), "content")
     while True:
         leaders = state.where("leads")
         block = leaders.select("key", "content", "root", "leads", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
         # where all leaders are in one component, its members have nothing to look for
-        spread = leaders.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        spread = tables.write(leaders.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spread")
         others = state.join(spread, "key").where("low != high or root != low")
         others = others.select("key", "content", "root", F.lit(False).alias("leads"), F.pmod(F.xxhash64("content"), chunks).cast("int").alias("chunk"))
-        dealt = cut(block.union(others).select(F.xxhash64("key", "chunk").alias("group"), "leads", "content", "root"), looped=True)
+        dealt = tables.write(block.union(others).select(F.xxhash64("key", "chunk").alias("group"), "leads", "content", "root"), "dealt")
         compared = dealt.join(sets, "content").repartition("group").sortWithinPartitions("group", F.desc("leads"), "content")
         # what was connected before is said in as few edges as there are nodes
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = cut(known.union(compared.mapInArrow(_led(similarity), "a binary, b binary")), looped=True)
-        roots = components(found)
-        state = cut(_rooted(state.withColumn("led", F.expr("led or leads")).drop("root", "leads"), roots), looped=True)
-        main = state.where("content = head").select("key", F.col("root").alias("main"))
+        found = tables.write(known.union(compared.mapInArrow(_led(similarity), "a binary, b binary")), "links")
+        roots = components(found, tables)
+        state = tables.write(_rooted(state.withColumn("led", F.expr("led or leads")).drop("root", "leads"), roots), "state")
+        main = tables.write(state.where("content = head").select("key", F.col("root").alias("main")), "main")
         waiting = state.join(main, "key").where("not led and root != main").select("key", "content", F.row_number().over(turn).alias("turn"))
-        following = cut(waiting.where(F.col("turn") <= small).select("key", "content", F.lit(True).alias("next")), looped=True)
+        following = tables.write(waiting.where(F.col("turn") <= small).select("key", "content", F.lit(True).alias("next")), "following")
         if following.isEmpty():
+            tables.keep("least")
             return roots
         # buckets in which nobody waits are done with
         state = state.join(following.select("key").distinct(), "key").join(following, ["key", "content"], "left")
-        state = cut(state.withColumn("leads", F.coalesce("next", F.lit(False))).drop("next"), looped=True)
+        state = tables.write(state.withColumn("leads", F.coalesce("next", F.lit(False))).drop("next"), "state")
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -283,13 +286,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = [f"keep_{i}" for i in range(len(keep))]
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = own.select("id", _content(F.col("text")).alias("content"), "text").mapInArrow(_signed(bands, rows), "id bigint, content binary, keys array<bigint>")
-    texts = cut(signed.groupBy("content").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
+    tables = Tables(docs.sparkSession)
+    texts = tables.write(signed.groupBy("content").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "texts")
     by_content = own.select(_content(F.col("text")).alias("content"), "text")
     roots = linked_components(texts, by_content, similarity)
     classed = texts.select("content", "least").join(roots, F.col("content") == F.col("node"), "left")
-    classed = cut(classed.select("content", "least", F.coalesce("root", "content").alias("root")))
+    classed = tables.write(classed.select("content", "least", F.coalesce("root", "content").alias("root")), "classed")
     first = F.min(F.struct(F.col("least").isNull(), "least", "content")).alias("first")
-    classes = cut(classed.join(cut(classed.groupBy("root").agg(first)), "root").select("content", F.col("first.least").alias("class_id"), F.col("first.content").alias("first")))
+    named = tables.write(classed.groupBy("root").agg(first), "named")
+    classes = tables.write(classed.join(named, "root").select("content", F.col("first.least").alias("class_id"), F.col("first.content").alias("first")), "classes")
+    tables.keep("classes")
     every = docs.select(F.col(id_col).alias("id"), _content(F.coalesce(F.col(text_col), F.lit(""))).alias("content"), *[F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)])
     is_first = (F.col("content") == F.col("first")) & F.col("id").eqNullSafe(F.col("class_id"))
     return every.join(classes, "content").select(F.col("id").alias(id_col), *[F.col(e).alias(c) for c, e in zip(keep, extra, strict=True)], "class_id", is_first.alias("is_first"))
