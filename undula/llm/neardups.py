@@ -219,16 +219,19 @@ def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, smal
     one.  In larger ones the heads lead first and then blocks of `small` of those members that haven't led
     and aren't in their head's component; members are dealt to tasks by about as many, each with the whole
     block of leaders.
+
+    Texts are made distinct within each task before they are shuffled.  The tables of buckets grow with the
+    input, so they are never broadcast.
     """
     tables = Tables(rows.sparkSession)
     keys = texts.select("content", F.explode("keys").alias("key"))
     sized = tables.write(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sized")
-    members = tables.write(keys.join(sized, "key").select("key", "content", "n"), "members")
+    members = tables.write(keys.join(sized.hint("merge"), "key").select("key", "content", "n"), "members")
     wanted = tables.write(members.select("content").distinct(), "wanted")
-    sets = tables.write(rows.join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>").dropDuplicates(["content"]), "sets")
+    sets = tables.write(rows.dropDuplicates(["content"]).join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>"), "sets")
     groups = members.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("content")).alias("all")).select("all").distinct()
     groups = tables.write(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")), "groups")
-    within = groups.join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
+    within = groups.hint("merge").join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
     found = tables.write(within.mapInArrow(_within(similarity), "a binary, b binary"), "links")
     crowded = members.where(F.col("n") > small)
     roots = components(found, tables)
