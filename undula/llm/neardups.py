@@ -220,8 +220,9 @@ def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, smal
     and aren't in their head's component; members are dealt to tasks by about as many, each with the whole
     block of leaders.
 
-    Texts are made distinct within each task before they are shuffled.  The tables of buckets grow with the
-    input, so they are never broadcast.
+    Texts are made distinct within each task before they are shuffled.  The sizes of buckets and the
+    groups of small ones grow with the input and are never broadcast; other joins are left to Spark's own
+    check of the size.
     """
     tables = Tables(rows.sparkSession)
     keys = texts.select("content", F.explode("keys").alias("key"))
