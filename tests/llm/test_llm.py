@@ -178,6 +178,21 @@ def test_language_model_base_and_odd_rows(spark):
     assert language_model.score_texts(none(spark), language_model.learnable()).count() == 0
 
 
+def test_language_model_trains_on_all_texts(spark):
+    long = {i: " ".join(_WORDS[(i + j) % 20] for j in range(9000)) for i in range(8)}
+    assert min(map(len, long.values())) > 20_000
+    for r in language_model.score_texts(table(spark, long.items()), language_model.learnable()).collect():
+        assert r.score > r.base_score / 4  # the next word follows from the last one
+    texts = table(spark, [*long.items(), *((100 + i, f"{_WORDS[i % 400]} end") for i in range(1000)), (2000, None)]).selectExpr("doc_id AS id", "coalesce(text, '') AS text")
+    stats = language_model.gather(language_model.count_words(texts), texts.count())
+    sent = spark.sparkContext.broadcast(stats)
+    batches = list(language_model._pieces(sent)(texts.toArrow().to_batches()))
+    assert max(len(x) for b in batches for x in b.column("ids").to_pylist()) <= 2 * language_model.PIECE
+    blocks = list(language_model._blocks(batches))
+    assert sum(len(y) for y, _, _ in blocks) == stats.total == language_model.Network(stats).train(blocks, 0.01)
+    assert sum((x == language_model.START_ID).sum() for _, x, _ in blocks) == stats.docs
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -5,7 +5,9 @@ token's probability is that of its class, given the state, times its own within
 frequent words fill classes of equal size, and within those a second softmax depends on the state.  All
 other words fall into classes by their last two bytes; within those, a word has its add-one share of the
 counts over the whole training corpus.  The network is trained by truncated backpropagation in
-numpy; in scoring, the state is carried from window to window through the whole text.
+numpy, on all training texts: they are dealt to tasks whose number grows with the corpus, each round
+starts all tasks from the same parameters, and the parameters that they reach are averaged.  In scoring,
+the state is carried from window to window through the whole text.
 
 Counts of all words are a distributed table.  Only the most frequent ones, at most FREQUENT, are
 broadcast; tokens outside them are looked up by a join.
@@ -13,15 +15,17 @@ broadcast; tokens outside them are looked up by a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import crc_mod, cut, hash_share, slices, text_array, text_bytes
+from undula.llm.common import crc_mod, cut, slices, text_array, text_bytes
 from undula.llm.shingles import LOWER, SPACE, hash_runs, runs
 
 #: Words whose counts are broadcast, at most; words with an output of their own, and their classes.
@@ -30,8 +34,13 @@ FREQUENT, OWN, OWN_CLASSES = 1 << 17, 2048, 64
 SUFFIX_CLASSES = 32
 #: Units of the state; steps of a window in training and in scoring; texts scored side by side.
 HIDDEN, TRAIN_STEPS, STEPS, LANES = 32, 16, 64, 256
-#: The network is trained on about this many texts, none over SAMPLE_CHARS long, PASSES times.
-SAMPLE_TEXTS, SAMPLE_CHARS, PASSES = 600, 20_000, 2
+#: Training texts are cut into pieces of at most PIECE tokens, each trained on in one of ROUNDS; a task has
+#: about TASK_TOKENS over all rounds, and lays BLOCK of them at a time into at most TRAIN_LANES lanes.
+PIECE, ROUNDS, TASK_TOKENS, BLOCK, TRAIN_LANES = 4096, 4, 1 << 22, 1 << 18, 256
+#: A corpus of fewer tokens is gone through repeatedly, at most MOST_PASSES times.
+FEW_TOKENS, MOST_PASSES = 1 << 20, 4
+#: Adam's rate in the first round; it falls evenly from round to round.
+RATE = 1.6e-2
 #: Distinct words that a task holds before it hands their counts on.
 _HELD = 1_000_000
 SIZE = OWN // OWN_CLASSES
@@ -91,88 +100,103 @@ class Network:
         """The class of each id."""
         return np.where(ids < OWN, ids // SIZE, np.where(ids < END_ID, ids - OWN + OWN_CLASSES, END_CLASS))
 
-    def train(self, texts: list[np.ndarray], passes: int = PASSES, lanes: int = 32, rate: float = 4e-3, seed: int = 4) -> None:
-        """Truncated backpropagation through windows of TRAIN_STEPS, with Adam; texts are ids with their end."""
-        if not texts:
-            return
-        rng, h = np.random.default_rng(seed), HIDDEN
-        lanes = max(1, min(lanes, len(texts)))
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        turn = 0
-        for _ in range(passes):
-            order = rng.permutation(len(texts))
-            rows = [np.concatenate([texts[i] for i in order[k::lanes]]) for k in range(lanes)]
-            feed = [np.concatenate([np.concatenate(([START_ID], texts[i][:-1])) for i in order[k::lanes]]) for k in range(lanes)]
-            length = max(map(len, rows))
-            y, x = np.full((length, lanes), -1), np.full((length, lanes), START_ID)
-            for k in range(lanes):
-                y[: len(rows[k]), k], x[: len(rows[k]), k] = rows[k], feed[k]
-            state = np.zeros((lanes, h), np.float32)
+    def flat(self) -> np.ndarray:
+        """All parameters in one vector."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        """Take the parameters from such a vector, which they share from then on."""
+        self.p = self._views(flat)
+
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([v.size for v in self.p.values()])
+        return {k: part.reshape(v.shape) for (k, v), part in zip(self.p.items(), np.split(flat, ends[:-1]), strict=True)}
+
+    def train(self, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float) -> int:
+        """Truncated backpropagation through windows of TRAIN_STEPS, with Adam; returns the number of tokens.
+
+        A block has ids, the id before each, and where a state starts anew.
+        """
+        flat, total, turn = self.flat(), 0, 0
+        self.load(flat)
+        slope = np.zeros_like(flat)
+        grads, m, v = self._views(slope), np.zeros_like(flat), np.zeros_like(flat)
+        for y, x, fresh in blocks:
+            total += len(y)
+            lanes = min(TRAIN_LANES, max(1, len(y) // (16 * TRAIN_STEPS)))
+            length = -(-len(y) // lanes)
+            rest = (0, lanes * length - len(y))
+            y = np.pad(y, rest, constant_values=-1).reshape(lanes, length).T
+            x = np.pad(x, rest, constant_values=START_ID).reshape(lanes, length).T
+            fresh = np.pad(fresh, rest, constant_values=True).reshape(lanes, length).T
+            state = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(0, length, TRAIN_STEPS):
-                grads, state = self._window(x[t : t + TRAIN_STEPS], y[t : t + TRAIN_STEPS], state)
+                at = slice(t, t + TRAIN_STEPS)
+                slope[:] = 0
+                state = self._window(x[at], y[at], fresh[at], state, grads)
                 turn += 1
-                size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                scale = min(1.0, 1.0 / (size + 1e-9))
-                for k, g in grads.items():
-                    m, v = moments[k]
-                    g = g * scale
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.p[k] -= (rate * m / (1 - 0.9**turn) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
-                self.p["bo"][~self.filled] = -1e4
-
-    def _window(self, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of the mean loss over a window, and the state after it."""
+                slope *= min(1.0, 1.0 / (float(np.sqrt(np.dot(slope, slope))) + 1e-9))
+                m += 0.1 * (slope - m)
+                v += 0.01 * (slope * slope - v)
+                flat -= np.float32(rate / (1 - 0.9**turn)) * m / (np.sqrt(v / np.float32(1 - 0.99**turn)) + np.float32(1e-6))
+        return total
+
+    def _window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, state: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
+        """Put the gradients of the mean loss over a window into g (zeros before); returns the state after it."""
         p, h = self.p, HIDDEN
-        kept, past = [], state
+        seen, place = np.unique(x, return_inverse=True)
+        place, kept = place.reshape(x.shape), (~fresh).astype(np.float32)[:, :, None]
+        known = p["embed"][seen]
+        fed = (known @ p["wx"] + p["bx"])[place]
+        pasts, gates, inner, cs, hs = (np.empty((*x.shape, n), np.float32) for n in (h, 2 * h, h, h, h))
+        past = state
         for s in range(len(x)):
-            past = past * (x[s] != START_ID)[:, None]
-            e = p["embed"][x[s]]
-            a, b = e @ p["wx"] + p["bx"], past @ p["wh"]
-            r, u = _sigmoid(a[:, :h] + b[:, :h]), _sigmoid(a[:, h : 2 * h] + b[:, h : 2 * h])
-            c = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
-            new = c + u * (past - c)
-            kept.append((past, e, b[:, 2 * h :], r, u, c, new))
-            past = new
+            pasts[s] = past * kept[s]
+            mixed = pasts[s] @ p["wh"]
+            gates[s] = _sigmoid(fed[s, :, : 2 * h] + mixed[:, : 2 * h])
+            inner[s] = mixed[:, 2 * h :]
+            cs[s] = np.tanh(fed[s, :, 2 * h :] + gates[s, :, :h] * inner[s])
+            hs[s] = past = cs[s] + gates[s, :, h:] * (pasts[s] - cs[s])
         live = y >= 0
-        n = max(1, int(live.sum()))
-        hs = np.stack([k[-1] for k in kept])[live]
-        target = y[live]
+        target, out = y[live], hs[live]
+        n = np.float32(max(1, len(target)))
         cls = self.target_class(target)
-        logits = hs @ p["wc"] + p["bc"]
-        d = np.exp(logits - logits.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(d)), cls] -= 1
-        d /= n
-        g = {"wc": hs.T @ d, "bc": d.sum(0)}
+        d = out @ p["wc"] + p["bc"]
+        d = np.exp(d - d.max(1, keepdims=True))
+        d /= d.sum(1, keepdims=True) * n
+        d[np.arange(len(d)), cls] -= 1 / n
+        g["wc"][:], g["bc"][:] = out.T @ d, d.sum(0)
         dh = d @ p["wc"].T
-        own = np.flatnonzero(target < OWN)
-        oc, ow, ho = cls[own], target[own] % SIZE, hs[own]
-        inner = np.einsum("mkh,mh->mk", p["wo"][oc], ho) + p["bo"][oc]
-        q = np.exp(inner - inner.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        q[np.arange(len(q)), ow] -= 1
-        q /= n
-        dh[own] += np.einsum("mk,mkh->mh", q, p["wo"][oc])
-        g["wo"], g["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        np.add.at(g["wo"], oc, q[:, :, None] * ho[:, None, :])
-        np.add.at(g["bo"], oc, q)
+        by = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[by], np.arange(OWN_CLASSES + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            some = by[ends[k] : ends[k + 1]]
+            ho = out[some]
+            q = ho @ p["wo"][k].T + p["bo"][k]
+            q = np.exp(q - q.max(1, keepdims=True))
+            q /= q.sum(1, keepdims=True) * n
+            q[np.arange(len(q)), target[some] % SIZE] -= 1 / n
+            dh[some] += q @ p["wo"][k]
+            g["wo"][k], g["bo"][k] = q.T @ ho, q.sum(0)
         back = np.zeros((*y.shape, h), np.float32)
         back[live] = dh
-        g |= {k: np.zeros_like(p[k]) for k in ("embed", "wx", "bx", "wh")}
+        da, db = np.empty((*x.shape, 3 * h), np.float32), np.empty((*x.shape, 3 * h), np.float32)
         carry = np.zeros_like(state)
         for s in reversed(range(len(x))):
-            past, e, bc, r, u, c, _ = kept[s]
+            r, u, c = gates[s, :, :h], gates[s, :, h:], cs[s]
             dn = back[s] + carry
-            du, dc = dn * (past - c) * u * (1 - u), dn * (1 - u) * (1 - c * c)
-            dr = dc * bc * r * (1 - r)
-            da, db = np.hstack((dr, du, dc)), np.hstack((dr, du, dc * r))
-            g["wx"] += e.T @ da
-            g["bx"] += da.sum(0)
-            g["wh"] += past.T @ db
-            np.add.at(g["embed"], x[s], da @ p["wx"].T)
-            carry = (dn * u + db @ p["wh"].T) * (x[s] != START_ID)[:, None]
-        return g, kept[-1][-1]
+            dc = dn * (1 - u) * (1 - c * c)
+            da[s, :, :h] = dc * inner[s] * r * (1 - r)
+            da[s, :, h : 2 * h] = dn * (pasts[s] - c) * u * (1 - u)
+            da[s, :, 2 * h :] = dc
+            db[s, :, : 2 * h], db[s, :, 2 * h :] = da[s, :, : 2 * h], dc * r
+            carry = (dn * u + db[s] @ p["wh"].T) * kept[s]
+        g["wh"][:] = pasts.reshape(-1, h).T @ db.reshape(-1, 3 * h)
+        order = np.argsort(place, axis=None, kind="stable")
+        by_id = np.add.reduceat(da.reshape(-1, 3 * h)[order], np.searchsorted(place.ravel()[order], np.arange(len(seen))))
+        g["bx"][:], g["wx"][:] = by_id.sum(0), known.T @ by_id
+        g["embed"][seen] = by_id @ p["wx"].T
+        return past
 
     def ready(self) -> None:
         """Work out what scoring reuses."""
@@ -291,14 +315,90 @@ def _with_ends(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.insert(ids, at[1:], END_ID), at + np.arange(len(at))
 
 
-def fit(texts: DataFrame, stats: Statistics, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Network:
-    """Train on a bounded sample of texts (columns id, text), drawn by a hash of the id."""
+def _pieces(sent):
+    """The texts' ids with their ends, in pieces of at most PIECE; each knows the id before it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            words, suffix, at = tokens(text_array(part.column("text")))
+            ids, at = _with_ends(ids_of(words, suffix, sent.value)[0], at)
+            pieces = -(-np.diff(at) // PIECE)
+            owner = np.repeat(np.arange(len(pieces)), pieces)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = at[owner] + number * PIECE
+            before = np.where(number > 0, ids[first - 1], START_ID)
+            data = ids.astype("<i2")
+            cuts = [data[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(ids)), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(number), pa.array(before.astype(np.int32)), pa.array(cuts, pa.binary())], ["id", "number", "before", "ids"])
+
+    return run
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, the id before each, and where pieces start; about BLOCK at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for before, ids in zip(batch.column("before").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            y = np.frombuffer(ids, "<i2").astype(np.int64)
+            held.append((y, np.concatenate(([before], y[:-1])), np.arange(len(y)) == 0))
+            size += len(y)
+            if size >= BLOCK:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _trained(sent, rate: float):
+    """The parameters that a task reaches from those sent, times its number of tokens."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = sent.value
+        start = net.flat()
+        weight = net.train(_blocks(batches), rate)
+        reached = net.flat()
+        net.load(start)  # a worker is used again
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([weight]), pa.array([(reached * np.float64(weight)).tobytes()], pa.binary())], ["part", "weight", "total"])
+
+    return run
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weight, total = 0, None
+    for batch in batches:
+        weight += sum(batch.column("weight").to_pylist())
+        for one in batch.column("total"):
+            one = np.frombuffer(one.as_buffer(), np.float64)
+            total = one.copy() if total is None else total + one
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "total"])
+
+
+def fit(texts: DataFrame, stats: Statistics) -> Network:
+    """Train on all texts (columns id, text), wholly.
+
+    Pieces are dealt by a hash, to more tasks where there are more tokens; each belongs to one round.  A
+    round's parameters are the tasks' mean, weighted by their tokens, summed in two steps.
+    """
     net = Network(stats)
-    share = sample_texts / max(1, stats.docs)
-    some = texts.where(hash_share(F.col("id"), share, "language model") & (F.char_length("text") <= sample_chars)).orderBy(F.xxhash64("id", "text")).collect()
-    words, suffix, at = tokens(text_array(pa.array([r.text for r in some], pa.large_string())))
-    ids, at = _with_ends(ids_of(words, suffix, stats)[0], at)
-    net.train([ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+    if stats.docs:
+        context = texts.sparkSession.sparkContext
+        tasks = math.ceil(stats.total / TASK_TOKENS)
+        cuts = texts.mapInArrow(_pieces(context.broadcast(stats)), "id bigint, number bigint, before int, ids binary")
+        keyed = cuts.select(F.xxhash64("id", "number", "ids").alias("key"), "before", "ids")
+        pieces = cut(keyed.repartition(tasks, "key").sortWithinPartitions("key"))
+        some = math.ceil(math.sqrt(tasks))
+        passes = min(MOST_PASSES, max(1, FEW_TOKENS // stats.total))
+        for k in range(passes * ROUNDS):
+            sent = context.broadcast(net)
+            mine = pieces.where(F.pmod("key", F.lit(ROUNDS)) == k % ROUNDS)
+            reached = mine.mapInArrow(_trained(sent, RATE * (1 - k / (passes * ROUNDS))), "part bigint, weight bigint, total binary")
+            sums = reached.repartition(some).sortWithinPartitions("part").mapInArrow(_summed, "weight bigint, total binary").collect()
+            weight = sum(r.weight for r in sums)
+            if weight:
+                net.load((sum(np.frombuffer(r.total, np.float64) for r in sums) / weight).astype(np.float32))
+            sent.destroy()
     net.ready()
     return net
 
