@@ -99,6 +99,17 @@ def test_dart_minhash_estimates_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.08
 
 
+def test_near_duplicates_of_repeated_texts_equal_brute_force(spark):
+    rng, docs = random.Random(6), {}
+    for i in range(0, 90, 3):
+        text = " ".join(rng.choices(_WORDS, k=100))
+        docs |= {i: text, i + 1: f"{text} {text}", i + 2: " ".join([text] * 4)}
+    sets = {i: shingle_set(t) for i, t in docs.items()}
+    assert all(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 for i in range(0, 90, 3) for j in (i + 1, i + 2))
+    got = {r.doc_id: r.class_id for r in neardups.near_duplicates(table(spark, docs.items())).collect()}
+    assert got == {i: i - i % 3 for i in docs}
+
+
 def test_toxicity_tolerates_inserted_letters(spark):
     rng = random.Random(2)
     text = lambda bad: " ".join(rng.choices(_WORDS[:60], k=20) + ([rng.choice(["grumpf", "blastard"])] if bad else []))

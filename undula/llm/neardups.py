@@ -1,11 +1,10 @@
 """Near-duplicate classes by DartMinHash.
 
-A text's shingles are weighted elements: a shingle that occurs c times weighs 1 + floor(log2 c).  Each
-unit of weight is a region; darts hit it at the times of a Poisson process seeded by the shingle and the
-unit's number, so texts that share a region share its darts.  A dart has a coordinate of the signature, and
-each coordinate keeps its earliest dart: two texts agree in one with the probability of their weighted
-Jaccard similarity.  A text throws only darts up to a time that is expected to fill all coordinates, and
-doubles it while some are empty.
+Each shingle of a text is a region of weight one, however often it occurs there, as links are defined on
+sets.  Darts hit it at the times of a Poisson process seeded by the shingle, so texts that share a shingle
+share its darts.  A dart has a coordinate of the signature, and each coordinate keeps its earliest dart: two
+texts agree in one with the probability of the Jaccard similarity of their sets.  A text throws only darts
+up to a time that is expected to fill all coordinates, and doubles it while some are empty.
 
 Coordinates are joined in bands.  A bucket of few texts is looked through in one task.  In a larger one
 all members are compared with the bucket's head, the text that shares most buckets; then all that are not
@@ -37,13 +36,10 @@ U = np.uint64
 _STEP = 4
 
 
-def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The unit regions of the texts (64-bit keys), and n+1 offsets."""
-    values, counts, at = distinct(*shingles(texts))
-    weight = 1 + np.floor(np.log2(counts)).astype(np.int64) if len(counts) else counts
-    ends = np.concatenate(([0], np.cumsum(weight)))
-    unit = np.arange(ends[-1]) - np.repeat(ends[:-1], weight)
-    return mix(np.repeat(values, weight) + unit.astype(U) * U(0x9E3779B97F4A7C15)), ends[at]
+def regions_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The regions of the texts (64-bit keys), one for each distinct shingle, and n+1 offsets."""
+    values, _, at = distinct(*shingles(texts))
+    return mix(values), at
 
 
 def signatures(regions: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
@@ -98,7 +94,7 @@ def _signed(bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             texts = text_array(part.column("text"))
-            regions, at = weighted(texts)
+            regions, at = regions_of(texts)
             keys = band_keys(signatures(regions, at, bands * rows), bands, rows)
             some = np.diff(at) > 0
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))), pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
