@@ -46,10 +46,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; rows are told apart by id and text, as ids may be null."""
     ship_package(spark)
-    found = decontamination.search_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    marked = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
+    found = decontamination.search_items(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="mark")
+    return marked.join(found.select("mark").distinct(), "mark", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,6 +204,16 @@ def test_language_model_trains_on_all_texts(spark):
     assert sum((x == language_model.START_ID).sum() for _, x, _ in blocks) == stats.docs
 
 
+def test_contaminated_rows_without_id_are_dropped(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(_WORDS[:20])
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, [(None, f"so {item}"), (None, "a clean text of six words"), (1, f"so {item}"), (2, "another clean text of six words"), (None, None)])
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, "a clean text of six words"), (2, "another clean text of six words")]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
