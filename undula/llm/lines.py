@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import slices
+from undula.llm.common import Kept, id_column, named, slices
 
 #: Code points that a key needs at least, and documents that hold it.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -29,28 +29,36 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _keys(min_chars: int):
+    """One row for each key of a text, with the positions of its lines."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            ids, keys = [], []
-            for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = {k for line in (text or "").encode().split(b"\n") if (k := line_key(line, min_chars))}
+            ids, marks, keys, places = [], [], [], []
+            for doc, mark, text in zip(*(part.column(c).to_pylist() for c in ("id", "mark", "text")), strict=True):
+                own: dict[bytes, list[int]] = {}
+                for at, line in enumerate((text or "").encode().split(b"\n")):
+                    if key := line_key(line, min_chars):
+                        own.setdefault(key, []).append(at)
                 ids += [doc] * len(own)
+                marks += [mark] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+                places += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["id", "mark", "key", "places"])
 
     return run
 
 
-def _kept(min_chars: int, extra: list[str]):
+def _kept(extra: list[str]):
+    """The lines of each text that aren't in lost places, in order."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             total, dropped, texts = [], [], []
-            for text, keys in zip(part.column("text").to_pylist(), part.column("lost").to_pylist(), strict=True):
-                lines, lost = (text or "").encode().split(b"\n"), set(keys or ())
-                stay = [x for x in lines if line_key(x, min_chars) not in lost] if lost else lines
+            for text, lost in zip(part.column("text").to_pylist(), part.column("lost").to_pylist(), strict=True):
+                lines, gone = (text or "").split("\n"), set(lost or ())
                 total.append(len(lines))
-                dropped.append(len(lines) - len(stay))
-                texts.append(text if len(stay) == len(lines) else b"\n".join(stay).decode())
+                dropped.append(len(gone))
+                texts.append("\n".join(x for at, x in enumerate(lines) if at not in gone) if gone else text)
             made = [pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), *made], [*extra, "n_lines", "n_dropped", "kept"])
 
@@ -65,15 +73,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept is the rest joined by newlines, null only if the text was null (one empty line).
 
     Rows that repeat an id count as one document: a key stays or goes in all of them.  Rows with a null
-    id hold no key, but lose the lines whose key is frequent.  An empty table gives an empty result.
+    id hold no key, but lose the lines whose key is frequent.  Ids are whole numbers.  A kept column that
+    has the name of a result gets _kept behind it.  An empty table gives an empty result.
+
+    Lines are exploded as a key and its places in a text, and a text is reassembled by the places that it
+    loses.  Rows are told apart by id and text, so those with a null id don't share one list of places.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    pairs = rows.select("id", "text").mapInArrow(_keys(min_chars), "id bigint, key binary").distinct()
+    carried = Kept((id_col, *keep), ("n_lines", "n_dropped", "kept"))
+    rows = docs.select(id_column(docs, id_col).alias("id"), F.xxhash64(id_column(docs, id_col), named(text_col)).alias("mark"), named(text_col).alias("text"), *carried.inside())
+    pairs = rows.select("id", "mark", "text").mapInArrow(_keys(min_chars), "id bigint, mark bigint, key binary, places array<int>").distinct()
     # counted by key and document first, so that a key in a third of all documents is spread over all tasks
-    held = pairs.groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).drop("n")
-    lost = pairs.join(held, "key").where("id is null or id < last").groupBy("id").agg(F.collect_list("key").alias("lost"))
-    met = rows.join(lost.withColumnRenamed("id", "lost_id"), F.col("id").eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
-    extra = [f"keep_{i}" for i in range(len(keep))]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema] + ["n_lines bigint", "n_dropped bigint", "kept string"])
-    done = met.mapInArrow(_kept(min_chars, ["id", *extra]), schema)
-    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *[F.col(a).alias(c) for a, c in zip(extra, keep, strict=True)], "n_lines", "n_dropped", "kept")
+    held = pairs.select("id", "key").distinct().groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    lost = pairs.join(held, "key").where("id is null or id < last").groupBy("mark").agg(F.flatten(F.collect_list("places")).alias("lost"))
+    done = rows.join(lost, "mark", "left").mapInArrow(_kept(carried.names), carried.schema(rows, "n_lines bigint, n_dropped bigint, kept string"))
+    return done.select(*carried.outside(), "n_lines", "n_dropped", "kept")
