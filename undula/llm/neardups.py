@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import Tables, slices, text_array
+from undula.llm.common import Kept, Tables, id_column, named, slices, text_array
 from undula.llm.components import components
 from undula.llm.shingles import distinct, mix, shingles
 
 SIMILARITY = 0.8
 #: At 0.8, a pair is in no common bucket with probability (1 - 0.8**ROWS)**BANDS = 3.5e-4.
 BANDS, ROWS = 20, 5
-#: Texts of a bucket that is looked through in one task, at most.
-SMALL = 512
+#: Texts of a bucket that is looked through in one task, at most, and their shingles (8 bytes each).
+SMALL, SMALL_SHINGLES = 512, 1 << 22
 U = np.uint64
 _STEP = 4
 
@@ -98,7 +98,7 @@ def _signed(bands: int, rows: int):
             keys = band_keys(signatures(regions, at, bands * rows), bands, rows)
             some = np.diff(at) > 0
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))), pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("content"), flat], ["id", "content", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("content"), flat, pa.array(np.diff(at))], ["id", "content", "keys", "size"])
 
     return run
 
@@ -208,48 +208,49 @@ class _Leaders:
         return [self.contents[i] for i in np.flatnonzero(like)[first]]
 
 
-def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
-    """The components (node, root) of all links between like contents that share a bucket.  `texts`: content, keys; `rows`: content, text.
+def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, small: int = SMALL, room: int = SMALL_SHINGLES, tables: Tables | None = None) -> DataFrame:
+    """The components (node, root) of all links between like contents that share a bucket.  `texts`: content, keys, size; `rows`: content, text.
 
-    A bucket of at most `small` texts is looked through in one task; equal buckets of several bands are
-    one.  In larger ones the heads lead first and then blocks of `small` of those members that haven't led
-    and aren't in their head's component; members are dealt to tasks by about as many, each with the whole
+    A bucket of at most `small` texts with at most `room` shingles is looked through in one task; equal buckets of several bands are
+    one.  In larger ones the heads lead first and then blocks, as large as that, of those members that
+    haven't led and aren't in their head's component; members are dealt to tasks by about as many, each with the whole
     block of leaders.
 
     Texts are made distinct within each task before they are shuffled.  The sizes of buckets and the
     groups of small ones grow with the input and are never broadcast; other joins are left to Spark's own
     check of the size.
     """
-    tables = Tables(rows.sparkSession)
-    keys = texts.select("content", F.explode("keys").alias("key"))
-    sized = tables.write(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sized")
-    members = tables.write(keys.join(sized.hint("merge"), "key").select("key", "content", "n"), "members")
+    tables = tables or Tables(rows.sparkSession)
+    keys = texts.select("content", "size", F.explode("keys").alias("key"))
+    parts = F.greatest(F.ceil(F.count("*") / small), F.ceil(F.sum("size") / room)).cast("int")
+    sized = tables.write(keys.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1"), "sized")
+    members = tables.write(keys.join(sized.hint("merge"), "key").select("key", "content", "size", "n", "parts"), "members")
     wanted = tables.write(members.select("content").distinct(), "wanted")
     sets = tables.write(rows.dropDuplicates(["content"]).join(wanted, "content").mapInArrow(_sets, "content binary, shingles array<bigint>"), "sets")
-    groups = members.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("content")).alias("all")).select("all").distinct()
+    groups = members.where("parts = 1").groupBy("key").agg(F.array_sort(F.collect_list("content")).alias("all")).select("all").distinct()
     groups = tables.write(groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("content")), "groups")
     within = groups.hint("merge").join(sets, "content").repartition("group").sortWithinPartitions("group", "content")
     found = tables.write(within.mapInArrow(_within(similarity), "a binary, b binary"), "links")
-    crowded = members.where(F.col("n") > small)
+    crowded = members.where("parts > 1")
     roots = components(found, tables)
     if crowded.isEmpty():
         tables.keep("least")
         return roots
     weights = tables.write(crowded.groupBy("content").agg(F.sum("n").alias("weight")), "weights")
-    crowded = tables.write(crowded.join(weights, "content").select("key", "content", "n", "weight"), "crowded")
+    crowded = tables.write(crowded.join(weights, "content").select("key", "content", "size", "parts", "weight"), "crowded")
     order = F.struct((-F.col("weight")).alias("order"), F.col("content").alias("head"))
     heads = tables.write(crowded.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.head"), "heads")
     state = crowded.join(heads, "key").select("*", (F.col("content") == F.col("head")).alias("leads"), F.lit(False).alias("led"))
     state = tables.write(_rooted(state, roots), "state")
-    chunks = F.ceil(F.col("n") / small).cast("int")
     turn = Window.partitionBy("key").orderBy(F.desc("weight"), "content")
+    upto = turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
         leaders = state.where("leads")
-        block = leaders.select("key", "content", "root", "leads", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        block = leaders.select("key", "content", "root", "leads", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"))
         # where all leaders are in one component, its members have nothing to look for
         spread = tables.write(leaders.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spread")
         others = state.join(spread, "key").where("low != high or root != low")
-        others = others.select("key", "content", "root", F.lit(False).alias("leads"), F.pmod(F.xxhash64("content"), chunks).cast("int").alias("chunk"))
+        others = others.select("key", "content", "root", F.lit(False).alias("leads"), F.pmod(F.xxhash64("content"), "parts").cast("int").alias("chunk"))
         dealt = tables.write(block.union(others).select(F.xxhash64("key", "chunk").alias("group"), "leads", "content", "root"), "dealt")
         compared = dealt.join(sets, "content").repartition("group").sortWithinPartitions("group", F.desc("leads"), "content")
         # what was connected before is said in as few edges as there are nodes
@@ -258,8 +259,9 @@ def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, smal
         roots = components(found, tables)
         state = tables.write(_rooted(state.withColumn("led", F.expr("led or leads")).drop("root", "leads"), roots), "state")
         main = tables.write(state.where("content = head").select("key", F.col("root").alias("main")), "main")
-        waiting = state.join(main, "key").where("not led and root != main").select("key", "content", F.row_number().over(turn).alias("turn"))
-        following = tables.write(waiting.where(F.col("turn") <= small).select("key", "content", F.lit(True).alias("next")), "following")
+        waiting = state.join(main, "key").where("not led and root != main").select("key", "content", F.row_number().over(turn).alias("turn"), F.sum("size").over(upto).alias("upto"))
+        block = (F.col("turn") == 1) | (F.col("turn") <= small) & (F.col("upto") <= room)
+        following = tables.write(waiting.where(block).select("key", "content", F.lit(True).alias("next")), "following")
         if following.isEmpty():
             tables.keep("least")
             return roots
@@ -273,32 +275,48 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = (), tables: Tables | None = None) -> DataFrame:
     """Each row's class: returns id_col, the columns named in `keep`, class_id and is_first.
 
     Two texts are linked if they are equal, or if the sets of their shingles (five words; all words of a
     shorter text) have a Jaccard similarity of `similarity` or more; classes are the components of the
-    links.  class_id is the least id in the class, is_first marks the rows of one text with that id.
-    Texts without words (null, empty, blank) are linked only to equal ones, null and empty being equal.
-    Rows that repeat an id are told apart by text; a null id is no class_id unless the class has no
-    other.  An empty table gives an empty result.
+    links.  class_id is the least id in the class; is_first marks one row of the class, of a text with
+    that id.  Texts without words (null, empty, blank) are linked only to equal ones, null and empty
+    being equal.  Rows that repeat an id are told apart by text; a null id is no class_id unless the
+    class has no other.  Ids are whole numbers.  A kept column that has the name of a result gets _kept
+    behind it.  An empty table gives an empty result.
+
+    The result reads a table of `tables` (of its own if none is given), which the caller may drop once
+    the result is written.
     """
-    extra = [f"keep_{i}" for i in range(len(keep))]
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = own.select("id", _content(F.col("text")).alias("content"), "text").mapInArrow(_signed(bands, rows), "id bigint, content binary, keys array<bigint>")
-    tables = Tables(docs.sparkSession)
-    texts = tables.write(signed.groupBy("content").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "texts")
+    carried = Kept((id_col, *keep), ("class_id", "is_first"))
+    tables = tables or Tables(docs.sparkSession)
+    own = docs.select(id_column(docs, id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    signed = own.select("id", _content(F.col("text")).alias("content"), "text").mapInArrow(_signed(bands, rows), "id bigint, content binary, keys array<bigint>, size bigint")
+    each = signed.groupBy("content", "id").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copies")).alias("least")
+    texts = tables.write(each.groupBy("content").agg(least, F.first("keys").alias("keys"), F.first("size").alias("size")), "texts")
     by_content = own.select(_content(F.col("text")).alias("content"), "text")
-    roots = linked_components(texts, by_content, similarity)
+    linking = Tables(docs.sparkSession)
+    roots = linked_components(texts, by_content, similarity, tables=linking)
     classed = texts.select("content", "least").join(roots, F.col("content") == F.col("node"), "left")
     classed = tables.write(classed.select("content", "least", F.coalesce("root", "content").alias("root")), "classed")
-    first = F.min(F.struct(F.col("least").isNull(), "least", "content")).alias("first")
-    named = tables.write(classed.groupBy("root").agg(first), "named")
-    classes = tables.write(classed.join(named, "root").select("content", F.col("first.least").alias("class_id"), F.col("first.content").alias("first")), "classes")
+    linking.keep()
+    first = F.min(F.struct(F.col("least.none"), F.col("least.id"), "content", F.col("least.copies"))).alias("first")
+    leads = tables.write(classed.groupBy("root").agg(first), "leads")
+    classes = classed.join(leads, "root").select("content", F.col("first.id").alias("class_id"), (F.col("content") == F.col("first.content")).alias("first"), F.col("first.copies").alias("copies"))
+    classes = tables.write(classes, "classes")
     tables.keep("classes")
-    every = docs.select(F.col(id_col).alias("id"), _content(F.coalesce(F.col(text_col), F.lit(""))).alias("content"), *[F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)])
-    is_first = (F.col("content") == F.col("first")) & F.col("id").eqNullSafe(F.col("class_id"))
-    return every.join(classes, "content").select(F.col("id").alias(id_col), *[F.col(e).alias(c) for c, e in zip(keep, extra, strict=True)], "class_id", is_first.alias("is_first"))
+    every = docs.select(id_column(docs, id_col).alias("id"), _content(F.coalesce(named(text_col), F.lit(""))).alias("content"), *carried.inside())
+    made = every.join(classes, "content").withColumn("is_first", F.col("first") & F.col("id").eqNullSafe(F.col("class_id")))
+    if not classes.where("first and copies > 1").isEmpty():
+        # one of equally first rows: the first in each of many parts, and the first of those
+        split = F.col("is_first") & (F.col("copies") > 1)
+        turn = lambda *by: F.row_number().over(Window.partitionBy("content", *by).orderBy(F.xxhash64(*carried.names))) == 1
+        parts = made.where(split).withColumn("part", F.spark_partition_id()).withColumn("is_first", turn("part")).drop("part")
+        ahead = parts.where("is_first").withColumn("is_first", turn())
+        made = made.where(~split).unionByName(parts.where("not is_first")).unionByName(ahead)
+    return made.select(*carried.outside(), "class_id", "is_first")
 
 
 def _content(text: Column) -> Column:
