@@ -1,10 +1,11 @@
 """Toxicity by a subsequence string-kernel support vector machine on Nyström landmarks.
 
 A text is a bag of units: its words with punctuation taken out, spelled-out letters (``i d i o t``) put
-together, a mark set before each word, and what is beyond MOST symbols cut into overlapping windows.  Units are compared by the
-gap-weighted subsequence kernel of order three, which tolerates letters put between others.  The
-machine works on Nyström features of landmark units.  Labels are of whole texts, so it learns from
-the most toxic-looking unit of each text labelled 1 and from the units of those labelled 0, picking
+together, and a mark set before each word.  A long word is a unit as a whole, and so are its overlapping
+pieces, as an insult may be a small part of it.  Units of any length are compared whole by the gap-weighted
+subsequence kernel of order three, scaled to 1 of a unit with itself, which tolerates letters put between
+others.  The machine works on Nyström features of landmark units.  Labels are of whole texts, so it learns
+from the most toxic-looking unit of each text labelled 1 and from the units of those labelled 0, picking
 them anew in each round; a text's score is that of its most toxic-looking unit, calibrated.
 
 The kernel's feature space is small (SYMBOLS**3 subsequences), so the expansion over landmarks is
@@ -14,6 +15,8 @@ summed once into a table over it: the same values, whatever the number of landma
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -21,36 +24,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import crc_mod, hash_share, slices, text_array, text_bytes
-from undula.llm.shingles import LOWER, SPACE, hash_runs, runs
+from undula.llm.common import Kept, crc_mod, id_column, named, slices, text_array, text_bytes
+from undula.llm.shingles import blank, hash_runs, lower, runs
 
 DECAY, LANDMARKS, ROUNDS = 0.6, 300, 4
-#: The sample to fit on has about this many texts of either label, none over SAMPLE_CHARS long.
+#: The sample to fit on has at most so many texts of either label, none over SAMPLE_CHARS long.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 20_000
-#: Longer units are cut into windows of WINDOW symbols, STRIDE apart.
-MOST, WINDOW, STRIDE = 10, 8, 4
-#: Letters, other characters, and the mark of a word's start.
-SYMBOLS, MARK = 41, 40
+#: Symbols: 1 to 26 for A-Z, then further letters by their code points, at last the mark of a word's start.
+SYMBOLS, MARK = 64, 63
+#: Words of more than MOST symbols give, beside themselves, their pieces of PIECE symbols, STRIDE apart.
+MOST, PIECE, STRIDE = 10, 8, 4
 RIDGE = 2e-5
 #: Units of toxic texts with a run of four symbols of this log-odds or more are all learned as toxic.
 CLEAR = 4.0
 _CACHE = 400_000
-_TRIPLES = np.array([t for t in combinations(range(MOST), 3)])
-_SPAN = DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1)
-# letters are symbols 1 to 26, digits those of the letters they stand in for, other characters share 13
-_SYMBOL = np.zeros(256, np.uint8)
-_SYMBOL[97:123] = np.arange(1, 27)
+#: Units up to this length are listed subsequence by subsequence, longer ones gone through letter by letter.
+_LISTED = 40
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[97:123] = np.arange(1, 27)
 for _digit, _letter in zip("0123456789", "oizeasgtbg", strict=True):
-    _SYMBOL[ord(_digit)] = ord(_letter) - 96
-_SYMBOL[0x80:0xC0] = 27 + np.arange(64) % 13
+    _ASCII[ord(_digit)] = ord(_letter) - 96
 
 
-def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All units of the texts in order: (units, MOST) symbols padded with 0, their hashes, n+1 offsets."""
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The symbol of each code point of the basic plane, small and capital letters alike; 0 for what is no letter."""
+    out = np.zeros(1 << 16, np.uint8)
+    for c in range(0x80, 1 << 16):
+        if chr(c).isalpha():
+            out[c] = 27 + ord(chr(c).lower()[0]) % (MARK - 27)
+    return out
+
+
+def symbols(data: np.ndarray) -> np.ndarray:
+    """The symbol of each character at its first byte, 0 elsewhere and for what is no letter or digit."""
+    out = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int32)
+        first, second, third = padded[lead], padded[lead + 1] & 63, padded[lead + 2] & 63
+        point = np.where(first < 0xE0, (first & 31) << 6 | second, (first & 15) << 12 | second << 6 | third)
+        out[lead] = np.where(first < 0xF0, _letters()[point], 0)  # beyond the basic plane: none
+    return out
+
+
+@dataclass
+class Units:
+    """Runs of symbols."""
+
+    symbol: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def take(self, places: np.ndarray) -> Units:
+        """These units, in this order."""
+        return Units(self.symbol, self.first[places], self.last[places])
+
+    def by_length(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of units of one length, and their symbols as a table, of about `most` subsequences at a time."""
+        size = self.last - self.first
+        order = np.argsort(size, kind="stable")
+        for n in np.unique(size):
+            group = order[np.searchsorted(size[order], n) : np.searchsorted(size[order], n, "right")]
+            step = max(1, most // max(1, n * (n - 1) * (n - 2) // 6)) if n <= _LISTED else 1
+            for i in range(0, len(group), step):
+                some = group[i : i + step]
+                yield some, self.symbol[self.first[some][:, None] + np.arange(n)[None, :]].astype(np.int64)
+
+
+def units(texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
+    """All units of the texts in order, their hashes, and n+1 offsets."""
     data, at = text_bytes(texts)
-    data = LOWER[data]
-    symbol = _SYMBOL[data]
-    keep = (symbol > 0) | SPACE[data]
+    data = lower(data)
+    symbol = symbols(data)
+    keep = (symbol > 0) | blank(data)
     symbol, at = symbol[keep], np.concatenate(([0], np.cumsum(keep)))[at]
     starts, ends = runs(symbol > 0, at)
     single = (ends - starts) == 1
@@ -68,47 +118,88 @@ def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, symbol = at + np.searchsorted(starts, at), np.insert(symbol, starts, marked)
         starts, ends = starts + np.arange(len(starts)), ends + np.arange(1, len(starts) + 1)
     size = ends - starts
-    pieces = np.where(size <= MOST, 1, 1 + -(-(size - WINDOW) // STRIDE))
-    owner = np.repeat(np.arange(len(size)), pieces)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    cut = size[owner] > MOST
-    first = np.where(cut, np.minimum(starts[owner] + step * STRIDE, ends[owner] - WINDOW), starts[owner])
-    last = np.where(cut, first + WINDOW, ends[owner])
-    place = first[:, None] + np.arange(MOST)[None, :]
-    padded = np.concatenate((symbol, np.zeros(MOST, np.uint8)))
-    body = np.where(place < last[:, None], padded[place], 0) if len(first) else np.zeros((0, MOST), np.uint8)
-    return body, hash_runs(symbol, first, last), np.searchsorted(first, at)
-
-
-def subsequences(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of the units' subsequences, scaled to a kernel of 1 with itself; weight 0: none."""
-    t = body.astype(np.int64)[:, _TRIPLES]
-    weight = np.where((t > 0).all(2), _SPAN[None, :], 0.0)
-    code = (t[:, :, 0] * SYMBOLS + t[:, :, 1]) * SYMBOLS + t[:, :, 2]
-    order = np.argsort(code, axis=1, kind="stable")
-    code, ordered = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1)
-    # equal codes lie side by side: their weights add up before squaring
-    total = np.cumsum(ordered, 1)
-    last = np.ones(code.shape, bool)
-    last[:, :-1] = code[:, 1:] != code[:, :-1]
-    upto = np.where(last, total, 0.0)
-    before = np.maximum.accumulate(np.concatenate((np.zeros((len(code), 1)), upto[:, :-1]), 1), 1)
-    norm = np.sqrt((np.where(last, total - before, 0.0) ** 2).sum(1, keepdims=True))
-    return code, ordered / np.maximum(norm, 1e-12)
-
-
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The normalised subsequence kernel of all units of a with all of b (few)."""
-    table = np.zeros((SYMBOLS**3, len(b)), np.float32)
-    code, weight = subsequences(b)
-    np.add.at(table, (code, np.arange(len(b))[:, None]), weight)
-    code, weight = subsequences(a)
+    more = np.where(size > MOST, 1 + -(-(size - PIECE) // STRIDE), 0)
+    owner = np.repeat(np.arange(len(size)), more + 1)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)  # 0: the word itself
+    first = np.where(step > 0, np.minimum(starts[owner] + (step - 1) * STRIDE, ends[owner] - PIECE), starts[owner])
+    last = np.where(step > 0, first + PIECE, ends[owner])
+    return Units(symbol, first, last), hash_runs(symbol, first, last), np.searchsorted(starts[owner], at)
+
+
+@lru_cache(maxsize=_LISTED + 1)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All subsequences of three of n places, and their weights."""
+    places = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    return places, DECAY ** (places[:, 2] - places[:, 0] + 1)
+
+
+def _codes(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, subsequences) codes of units of one length, and the subsequences' weights."""
+    places, weight = _triples(table.shape[1])
+    scaled = table * SYMBOLS
+    code = scaled[:, places[:, 0]]
+    code += table[:, places[:, 1]]
+    code *= SYMBOLS
+    code += table[:, places[:, 2]]
+    return code, weight
+
+
+def own_kernel(table: np.ndarray) -> np.ndarray:
+    """The kernel of each unit with itself before scaling; units of one length, by its recursion over prefixes."""
+    rows, n = table.shape
+    same = (table[:, :, None] == table[:, None, :]).astype(np.float64)
+    below = np.ones((n + 1, n + 1, rows))
+    for _ in range(2):  # orders one and two, weighted up to the ends of both prefixes
+        now, inner = np.zeros((n + 1, n + 1, rows)), np.zeros((n + 1, n + 1, rows))
+        for s in range(1, n + 1):
+            for t in range(1, n + 1):
+                inner[s, t] = DECAY * inner[s, t - 1] + DECAY**2 * same[:, s - 1, t - 1] * below[s - 1, t - 1]
+                now[s, t] = DECAY * now[s - 1, t] + inner[s, t]
+        below = now
+    return DECAY**2 * np.einsum("rst,str->r", same, below[:n, :n])
+
+
+def whole_features(symbol: np.ndarray) -> np.ndarray:
+    """The weights of all SYMBOLS**3 subsequences of one unit, letter by letter."""
+    out = np.zeros((SYMBOLS, SYMBOLS, SYMBOLS))  # last symbol first
+    one, two = np.zeros(SYMBOLS), np.zeros((SYMBOLS, SYMBOLS))
+    for c in symbol:
+        out[c] += DECAY * two
+        two *= DECAY
+        two[:, c] += DECAY * one
+        one *= DECAY
+        one[c] += DECAY
+    return out.transpose(1, 2, 0).ravel()
+
+
+def kernel(a: Units, b: Units) -> np.ndarray:
+    """The scaled subsequence kernel of all units of a with all of b (few)."""
+    known = [(some, *_flat(table)) for some, table in b.by_length(1 << 16)]
+    codes = np.unique(np.concatenate([code.ravel() for _, code, _ in known])) if known else np.zeros(0, np.int64)
+    place = np.full(SYMBOLS**3, len(codes), np.int32)  # the last row stays 0
+    place[codes] = np.arange(len(codes))
+    rows = np.zeros((len(codes) + 1, len(b)), np.float32)
+    for some, code, weight in known:
+        np.add.at(rows, (place[code], some[:, None]), weight)
     out = np.zeros((len(a), len(b)), np.float32)
-    for k in range(code.shape[1]):
-        out += table[code[:, k]] * weight[:, k : k + 1].astype(np.float32)
+    for some, table in a.by_length(1 << 18):
+        code, weight = _flat(table)
+        for k in range(code.shape[1]):
+            out[some] += rows[place[code[:, k]]] * weight[:, k : k + 1].astype(np.float32)
     return out
 
 
+def _flat(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, subsequences) codes and weights, scaled to a kernel of 1 with itself; units of one length."""
+    if table.shape[1] > _LISTED:
+        dense = whole_features(table[0])
+        code = np.flatnonzero(dense)
+        return code[None], (dense[code] / np.linalg.norm(dense))[None]
+    code, weight = _codes(table)
+    norm = np.sqrt(np.maximum(own_kernel(table), 1e-12))
+    return code, weight[None, :] / norm[:, None]
+
+
 class Machine:
     """The trained machine: a table over subsequences, a bias and a calibration."""
 
@@ -117,15 +208,19 @@ class Machine:
         self.slope, self.shift = 1.0, 0.0
         self._seen: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
 
-    def rate(self, body: np.ndarray) -> np.ndarray:
+    def rate(self, some: Units) -> np.ndarray:
         """The machine's value of each unit."""
-        out = np.empty(len(body), np.float32)
-        for i in range(0, len(body), 4096):
-            code, weight = subsequences(body[i : i + 4096])
-            out[i : i + 4096] = (self.table[code] * weight).sum(1) + self.bias
+        out = np.full(len(some), self.bias, np.float32)
+        for places, table in some.by_length(1 << 19):
+            if 3 <= table.shape[1] <= _LISTED:
+                code, weight = _codes(table)
+                out[places] += (self.table[code] @ weight.astype(np.float32)) / np.sqrt(own_kernel(table))
+            elif table.shape[1] > _LISTED:
+                dense = whole_features(table[0])
+                out[places] += float(dense @ self.table) / np.linalg.norm(dense)
         return out
 
-    def values(self, body: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def values(self, some: Units, hashes: np.ndarray) -> np.ndarray:
         """The same, with what earlier slices had looked up by hash."""
         new, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         known, value = self._seen
@@ -134,7 +229,7 @@ class Machine:
         out = np.empty(len(new), np.float32)
         if have.any():
             out[have] = value[at[have]]
-        out[~have] = self.rate(body[first[~have]])
+        out[~have] = self.rate(some.take(first[~have]))
         if len(known) > _CACHE:
             known, value = known[:0], value[:0]
             have[:] = False
@@ -145,11 +240,11 @@ class Machine:
 
     def best(self, texts: pa.Array) -> np.ndarray:
         """The value of each text's most toxic-looking unit; that of no unit is the bias."""
-        body, hashes, at = units(texts)
+        found, hashes, at = units(texts)
         out = np.full(len(texts), self.bias, np.float32)
         some = np.flatnonzero(np.diff(at) > 0)
         if len(some):
-            out[some] = np.maximum.reduceat(self.values(body, hashes), at[:-1][some])
+            out[some] = np.maximum.reduceat(self.values(found, hashes), at[:-1][some])
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -164,7 +259,7 @@ class Machine:
         rng = np.random.default_rng(seed)
         body, hashes, at = units(text_array(pa.array(texts, pa.large_string())))
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        body = body[first]
+        body = body.take(first)
         owner = np.repeat(np.arange(len(y)), np.diff(at))
         pair = np.unique(owner.astype(np.int64) * len(body) + which)
         owner, which = pair // len(body), pair % len(body)
@@ -202,34 +297,38 @@ class Machine:
         return self
 
     @staticmethod
-    def _first(body: np.ndarray, owner: np.ndarray, which: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    def _first(body: Units, owner: np.ndarray, which: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
         """A first value of each unit: the best log-odds of its runs of four symbols over the texts."""
-        b = body.astype(np.int64)
         value = np.full(len(body), -9.0)
         n1, n0 = max(1, int(y[use].sum())), max(1, int((1 - y[use]).sum()))
-        code = [((b[:, k] * SYMBOLS + b[:, k + 1]) * SYMBOLS + b[:, k + 2]) * SYMBOLS + b[:, k + 3] for k in range(MOST - 3)]
-        whole = [(b[:, k : k + 4] > 0).all(1) for k in range(MOST - 3)]
-        seen = [np.zeros(SYMBOLS**4), np.zeros(SYMBOLS**4)]
-        mine = use[owner]
+        size = np.maximum(body.last - body.first - 3, 0)
+        unit = np.repeat(np.arange(len(body)), size)
+        start = np.repeat(body.first - np.cumsum(size) + size, size) + np.arange(len(unit))
+        b = body.symbol.astype(np.int64)
+        _, code = np.unique(((b[start] * SYMBOLS + b[start + 1]) * SYMBOLS + b[start + 2]) * SYMBOLS + b[start + 3], return_inverse=True)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        kinds = int(code.max()) + 1 if len(code) else 0
+        seen = []
         for label in (0, 1):
-            part = mine & (y[owner] == label)
-            keys = np.concatenate([owner[part][whole[k][which[part]]] * SYMBOLS**4 + code[k][which[part]][whole[k][which[part]]] for k in range(MOST - 3)])
-            seen[label] = np.bincount(np.unique(keys) % SYMBOLS**4, minlength=SYMBOLS**4)
+            part = np.flatnonzero(use[owner] & (y[owner] == label))
+            n = size[which[part]]
+            spot = np.repeat(ends[which[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            keys = np.unique(np.repeat(owner[part], n) * kinds + code[spot])
+            seen.append(np.bincount(keys % kinds if kinds else keys, minlength=kinds))
         odds = np.log((seen[1] + 1) / (n1 + 2)) - np.log((seen[0] + 1) / (n0 + 2)) + np.minimum(0, np.log((seen[1] + 1) / 6))
-        for k in range(MOST - 3):
-            value[whole[k]] = np.maximum(value[whole[k]], odds[code[k][whole[k]]])
+        np.maximum.at(value, unit, odds[code])
         return value
 
-    def _train(self, body: np.ndarray, good: np.ndarray, bad: np.ndarray, rng: np.random.Generator) -> None:
+    def _train(self, body: Units, good: np.ndarray, bad: np.ndarray, rng: np.random.Generator) -> None:
         """A linear machine with squared hinge loss on the Nyström features of the landmarks."""
         good, times = np.unique(good, return_counts=True)
         bad, often = np.unique(bad, return_counts=True)
         lead, part = good[np.argsort(-times, kind="stable")], LANDMARKS // 3
         marks = np.unique(np.concatenate((lead[:part], rng.choice(lead, min(len(lead), part), replace=False), rng.choice(bad, min(len(bad), part), replace=False))))
-        values, vectors = np.linalg.eigh(kernel(body[marks], body[marks]).astype(np.float64))
+        values, vectors = np.linalg.eigh(kernel(body.take(marks), body.take(marks)).astype(np.float64))
         live = values > 1e-4 * values.max()
         root = vectors[:, live] / np.sqrt(values[live])
-        x = np.concatenate((kernel(body[good], body[marks]), kernel(body[bad], body[marks]))).astype(np.float64) @ root
+        x = np.concatenate((kernel(body.take(good), body.take(marks)), kernel(body.take(bad), body.take(marks)))).astype(np.float64) @ root
         y = np.concatenate((np.ones(len(good)), -np.ones(len(bad))))
         share = np.concatenate((np.sqrt(times) / np.sqrt(times).sum(), np.sqrt(often) / np.sqrt(often).sum())) / 2
         x1 = np.hstack((x, np.ones((len(x), 1))))
@@ -244,51 +343,49 @@ class Machine:
             if done:
                 break
         w, b = w[:-1], w[-1]
-        code, weight = subsequences(body[marks])
-        table = np.zeros(SYMBOLS**3)
-        np.add.at(table, code, weight * (root @ w)[:, None])
+        table, share = np.zeros(SYMBOLS**3), root @ w
+        for some, found in body.take(marks).by_length(1 << 16):
+            code, weight = _flat(found)
+            np.add.at(table, code, weight * share[some][:, None])
         self.table, self.bias = table.astype(np.float32), float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS)) -> Machine:
     """Learn from a bounded sample of labelled texts.
 
-    About sample[0] texts labelled 1 and sample[1] labelled 0, drawn by a hash of the id, none longer than
-    sample[2] characters, are gathered on the driver, and nothing else.  Null labels are no labels.
+    At most sample[0] ids labelled 1 and sample[1] labelled 0, those of the least hashes, are wanted; of
+    their texts no longer than sample[2] characters, as many of the least hashes are gathered on the driver,
+    and nothing else.  Null labels are no labels; an id that is labelled both ways counts as each.
     """
-    marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    counts = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
-    if not counts:
-        return Machine()
-    shares = {k: sample[0 if k else 1] / n for k, n in counts.items()}
-    wanted = marked.where(F.coalesce(*[F.when(F.col("label") == k, hash_share(F.col("id"), s, "toxicity")) for k, s in sorted(shares.items())]))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(hash_share(F.col("id"), max(shares.values()), "toxicity") & (F.char_length("text") <= sample[2]))
-    # the wanted labels are bounded by `sample`
-    some = texts.join(F.broadcast(wanted), "id").orderBy(F.xxhash64("id", "text", "label")).collect()
-    return Machine().fit([r.text for r in some], [r.label for r in some])
+    marked = labels.select(id_column(labels, id_col).alias("id"), named(label_col).cast("int").alias("label")).dropna().distinct()
+    least = lambda k, n: marked.where(F.col("label") == k).orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(n)
+    wanted = least(1, sample[0]).unionByName(least(0, sample[1]))
+    texts = docs.select(id_column(docs, id_col).alias("id"), named(text_col).alias("text")).where(F.char_length("text") <= sample[2])
+    # the wanted labels are as few as `sample` says
+    some = texts.join(F.broadcast(wanted), "id").orderBy(F.xxhash64("id", "text", "label")).limit(sample[0] + sample[1]).collect()
+    return Machine().fit([r.text for r in some], [r.label for r in some]) if some else Machine()
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Score every whole text; returns `keep` and score, 0 to 1, higher where label 1 is likelier.
 
     Null, empty and blank texts have the score of a text without any unit.  Repeated rows each give a
-    row; an empty table gives an empty result.
+    row; an empty table gives an empty result.  A kept column named score comes out as score_kept.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    extra = [f"keep_{i}" for i in range(len(keep))]
+    kept = Kept(keep, ("score",))
+    rows = docs.select(named(text_col).alias("text"), *kept.inside())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for part in slices(batches, "text", 1 << 20):
             value = own.probability(own.best(text_array(part.column("text"))).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), pa.array(value)], [*extra, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept.names), pa.array(value)], [*kept.names, "score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema] + ["score double"])
-    done = rows.mapInArrow(run, schema)
-    return done.select(*[F.col(a).alias(c) for a, c in zip(extra, keep, strict=True)], "score")
+    done = rows.mapInArrow(run, kept.schema(rows, "score double"))
+    return done.select(*kept.outside(), "score")
 
 
 def learnable(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of the three folds that may be learned from."""
-    return rows.where(crc_mod(F.col(id_col), 4) != 2)
+    return rows.where(crc_mod(named(id_col), 4) != 2)
