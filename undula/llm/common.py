@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step holds; a longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -18,12 +19,15 @@ SLICE_BYTES = 2 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session's spark.checkpoint.dir names, for all executors and the driver.
 
-    Only where that is unset (tests, local runs) is a temporary one made.
+    Where that is unset, a local session gets a temporary one; a cluster's gets a RuntimeError, as its
+    executors share no such folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="undula-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="undula-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -101,3 +105,49 @@ def hash_share(key: Column, share: float, seed: str) -> Column:
     """True for a pseudo-random `share` of the keys, the same ones on every run."""
     low = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
     return low < F.lit(int(min(1.0, share) * (1 << 40)))
+
+
+def named(name: str) -> Column:
+    """The top-level column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def id_column(df: DataFrame, name: str) -> Column:
+    """The column as bigint; ValueError if it isn't of whole numbers."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise ValueError(f"ids must be whole numbers: column {name} is {kind.simpleString()}")
+    return named(name).cast("bigint")
+
+
+class Kept:
+    """Columns that an operator carries along, under names of their own inside.
+
+    They come out under their old names; one that has the name of a column which the operator makes
+    (`made`, capitals apart) gets _kept behind it, as often as it takes.
+    """
+
+    def __init__(self, keep: Iterable[str], made: Iterable[str]) -> None:
+        self.keep = tuple(keep)
+        self.names = [f"keep_{i}" for i in range(len(self.keep))]
+        taken, self.out = {m.lower() for m in made} | {k.lower() for k in self.keep}, []
+        made = {m.lower() for m in made}
+        for name in self.keep:
+            final = name
+            if name.lower() in made:
+                while final.lower() in taken:
+                    final += "_kept"
+                taken.add(final.lower())
+            self.out.append(final)
+
+    def inside(self) -> list[Column]:
+        """The columns under their inner names."""
+        return [named(c).alias(n) for c, n in zip(self.keep, self.names, strict=True)]
+
+    def outside(self) -> list[Column]:
+        """The inner columns under the names that they come out with."""
+        return [F.col(n).alias(o) for n, o in zip(self.names, self.out, strict=True)]
+
+    def schema(self, rows: DataFrame, made: str) -> str:
+        """The inner columns' schema as they are in `rows`, and the made ones'."""
+        return ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in self.names), made])

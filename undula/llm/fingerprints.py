@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.llm.common import id_column, named
+
 WORDS = 5
 #: One shingle hash of this many is kept.
 SCALE = 8
@@ -103,9 +105,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A null text counts as empty; a row with a null id has an empty next document and is nobody's next.
     Rows that repeat an id each give a row of the result; as a next document the one with the
-    smallest text hash stands for them.  An empty table gives an empty result.
+    smallest text hash stands for them.  Ids are whole numbers.  An empty table gives an empty result.
     """
-    every = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = docs.select(id_column(docs, id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     placed = every.where("id is not null")
     base = placed.withColumn("sketch", sketch(F.col("text"), scale))
     needs = placed.groupBy("id").agg(F.max(F.floor(F.char_length("text") / 3)).cast("int").alias("need"))

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import crc_mod, hash_share, slices, text_array, text_bytes
+from undula.llm.common import Kept, crc_mod, hash_share, named, slices, text_array, text_bytes
 from undula.llm.shingles import LOWER
 
 #: Hashed n-gram bins, and the orders of the n-grams.
 BINS, ORDERS = 4096, (2, 3)
 #: The sample to fit on has about this many texts of each language, none over SAMPLE_CHARS long.
 SAMPLE_TEXTS, SAMPLE_CHARS = 500, 20_000
+#: Languages that are learned, at most.
+MOST_LANGS = 200
 #: The best two languages are ambiguous if the better one's share of the two is below this.
 SURE = 0.6
 _GROUP = 512
@@ -110,16 +112,18 @@ class Classifier:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Classifier:
     """Learn from a bounded sample of rows with text, language and id.
 
-    Each language gives about `sample_texts` texts of at most `sample_chars` characters, drawn by a hash of
-    the id, in proportion to its count; the driver holds no more than that.
+    Each of the MOST_LANGS most frequent languages gives about `sample_texts` texts of at most
+    `sample_chars` characters, drawn by a hash of id and text, in proportion to its count; the driver
+    holds no more than half as many again.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang")).dropna()
     rows = rows.where(F.char_length("text").between(1, sample_chars))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return Classifier([], [])
-    share = F.coalesce(*[F.when(F.col("lang") == k, hash_share(F.col("id"), sample_texts / n, "language")) for k, n in sorted(counts.items())])
-    some = rows.where(share).orderBy(F.xxhash64("id", "text")).collect()
+    mark = F.xxhash64("id", "text")
+    share = F.coalesce(*[F.when(F.col("lang") == k, hash_share(mark, sample_texts / n, "language")) for k, n in sorted(counts.items())])
+    some = rows.where(share).orderBy(mark, "text", "lang").limit(len(counts) * sample_texts * 3 // 2).collect()
     return Classifier([r.text for r in some], [r.lang for r in some])
 
 
@@ -128,11 +132,13 @@ def identify(docs: DataFrame, model: Classifier, text_col: str = "text", keep: t
 
     lang_pred is ``und``, with score 0, for a text that is null or has no letter, and for all texts if
     nothing was learned.  score is the share of the best language in the decoded likelihoods.
-    Repeated rows each give a row; an empty table gives an empty result.
+    Of equally likely languages the first in the alphabet is taken, and the text is ambiguous.
+    Repeated rows each give a row; an empty table gives an empty result; a kept column that has the name
+    of a result gets _kept behind it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    extra = [f"keep_{i}" for i in range(len(keep))]
+    kept = Kept(keep, ("lang_pred", "score", "ambiguous"))
+    rows = docs.select(named(text_col).alias("text"), *kept.inside())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -142,13 +148,12 @@ def identify(docs: DataFrame, model: Classifier, text_col: str = "text", keep: t
             known = np.array([bool(own.langs) and any(c.isalpha() for c in t) for t in texts.to_pylist()], bool)
             langs = [own.langs[i] if k else "und" for i, k in zip(best, known, strict=True)]
             made = [pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(close & known)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), *made], [*extra, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept.names), *made], [*kept.names, "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema] + ["lang_pred string", "score double", "ambiguous boolean"])
-    done = rows.mapInArrow(run, schema)
-    return done.select(*[F.col(a).alias(c) for a, c in zip(extra, keep, strict=True)], "lang_pred", "score", "ambiguous")
+    done = rows.mapInArrow(run, kept.schema(rows, "lang_pred string, score double, ambiguous boolean"))
+    return done.select(*kept.outside(), "lang_pred", "score", "ambiguous")
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of the two folds that may be learned from."""
-    return docs.where(crc_mod(F.col(id_col), 3) != 1)
+    return docs.where(crc_mod(named(id_col), 3) != 1)

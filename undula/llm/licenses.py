@@ -16,9 +16,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from undula.llm.common import slices, text_array
+from undula.llm.common import id_column, named, slices, text_array
 from undula.llm.shingles import mix, shingles
 
 THRESHOLD = 0.8
@@ -132,10 +131,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     containment is the largest over the windows and the templates of that name.  Texts without words
     (null, empty, blank) give no row, repeated rows each give theirs, null ids are carried along; an
-    empty table gives an empty result.  Templates are a parameter of the caller's, part of the code.
+    empty table gives an empty result.  Ids are whole numbers.  Templates are a parameter of the caller's, part of the code.
     """
     index = TemplateIndex(list(templates), threshold)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(id_column(docs, id_col).alias("id"), named(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

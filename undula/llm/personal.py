@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.llm.boosting import Boosted
+from undula.llm.common import Kept, named
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of accepted kept-back candidates that must be right; code points of context on either side.
@@ -158,10 +159,12 @@ def find_personal(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     base and spans are arrays of (start, rank, end), ordered: code points, end exclusive, rank the place
     of the kind in KINDS.  base holds the leftmost non-overlapping matches of each kind's pattern that
     pass its check; spans holds base and the accepted candidates, none of which overlaps another span.
-    A null text counts as empty, which has no spans; repeated rows each give a row.
+    A null text counts as empty, which has no spans; repeated rows each give a row, an empty table an empty
+    result.  A kept column named base or spans gets _kept behind it.
     """
     fitted = models(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    kept = Kept(keep, ("base", "spans"))
+    rows = docs.select(F.coalesce(named(text_col), F.lit("")).alias("text"), *kept.inside())
     span = "named_struct('start', m.start, 'rank', {rank}, 'end', m.end)"
     base = [f"transform(filter({found('text', BASE[k], NEEDS[k])}, m -> {valid(k, 'm.value')}), m -> {span.format(rank=i)})" for i, k in enumerate(KINDS)]
     rated = []
@@ -177,7 +180,7 @@ def find_personal(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     kind = "array<struct<start:int,rank:int,end:int>>"
     taken = f"aggregate(rated, cast(array() AS {kind}), (a, r) -> CASE WHEN exists(a, x -> x.start < r.end AND r.start < x.end) THEN a ELSE array_append(a, named_struct('start', r.start, 'rank', r.rank, 'end', r.end)) END)"
     rows = rows.withColumn("spans", F.expr(f"array_sort(concat(base, {taken}))"))
-    return rows.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "base", "spans")
+    return rows.select(*kept.outside(), "base", "spans")
 
 
 def spans_text(spans: str) -> Column:
