@@ -72,7 +72,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
                 old, new = root[b], root[a]
                 root = {k: min(old, new) if v in (old, new) else v for k, v in root.items()}
     original = neardups.linked_components
-    monkeypatch.setattr(neardups, "linked_components", lambda t, r, s: original(t, r, s, small))
+    monkeypatch.setattr(neardups, "linked_components", lambda t, r, s, tables: original(t, r, s, small, 10**6 if small > 2 else 200, tables))
     got = {r.doc_id: r.class_id for r in neardups.near_duplicates(table(spark, docs.items())).collect()}
     assert got == root
 
@@ -162,11 +162,12 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark)).count() == 0 and licenses.scan_licenses(none(spark)).count() == 0
 
 
-def test_bpe_tree_equals_encoding_in_one_go(spark):
-    coder = bpe.Coder(bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), public_tokenizers.PATTERN, leaf=5)
+@pytest.mark.parametrize("leaf", [1, 5, bpe.LEAF])
+def test_bpe_tree_equals_encoding_in_one_go(spark, leaf):
+    coder = bpe.Coder(bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), leaf)
     rng = random.Random(6)
-    for _ in range(500):
-        text = "".join(rng.choices("aab  \n\t'ste12é世.!\x1c\x85\U0001f600", k=rng.randint(0, 80)))
+    for _ in range(300):
+        text = "".join(rng.choices("aab  \n\t'ste12é世.!\x1c\x85\U0001f600", k=rng.randint(0, 400)))
         ids = coder.encode(text)
         assert ids == coder.base.encode_ordinary(text) and coder.decode(ids).decode() == text
     rows = bpe.encode_texts(odd(spark))
@@ -214,17 +215,172 @@ def test_contaminated_rows_without_id_are_dropped(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, "a clean text of six words"), (2, "another clean text of six words")]
 
 
-def test_pipeline_stages(spark, tmp_path):
+def plain_lines(docs):
+    """Texts by id without repeated lines."""
+    blank = " \t\n\x0b\x0c\r"
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(blank).translate(low)
+    held = defaultdict(set)
+    for i, t in docs.items():
+        for line in t.split("\n"):
+            held[key(line)].add(i)
+    lost = lambda i, k: len(k) >= 20 and len(held[k]) >= 3 and max(held[k]) != i
+    return {i: "\n".join(x for x in t.split("\n") if not lost(i, key(x))) for i, t in docs.items()}
+
+
+def plain_firsts(docs):
+    """The least id of each class of near duplicates, by comparing all pairs."""
+    sets, root = {i: shingle_set(t) for i, t in docs.items()}, {i: i for i in docs}
+    for a in docs:
+        for b in docs:
+            if a < b and (docs[a] == docs[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    return set(root.values())
+
+
+def test_pipeline_equals_a_plain_one(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(8)
     item = " ".join(rng.choices(_WORDS, k=20))
     own = {i: " ".join(rng.choices(_WORDS, k=60)) for i in range(40)}
-    own |= {41: own[0], 42: own[1] + " " + item, 43: own[2] + " grumpf"}
-    rows = [(i, f"{t}\nThis line stands in every document", "en", "s", len(t)) for i, t in own.items()]
-    rows += [(100 + i, " ".join(rng.choices(_WORDS, k=30)) + " grumpf", "en", "s", 1) for i in range(40)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    own |= {41: own[0], 42: own[1] + " " + item, 43: own[2] + " grumpf", 44: own[3] + " more", 45: ""}
+    rows = [(i, f"{t}\nThis line stands in every document\n a line \n", "en", 1.0, len(t)) for i, t in own.items()]
+    rows += [(100 + i, " ".join(rng.choices(_WORDS, k=30)) + " grumpf", "en", 2.0, 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, class_id string, score double, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i >= 100 or i == 43)) for i, *_ in rows], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == set(range(40)) and defaultdict(int)[0] == 0
+    left = plain_lines({i: t for i, t, *_ in rows if "grumpf" not in t})
+    left = {i: left[i] for i in plain_firsts(left)}
+    left = {i: t for i, t in left.items() if not shingle_set(item) <= shingle_set(t)}
+    coder = bpe.Coder(bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)))
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: coder.base.encode_ordinary(t) for i, t in left.items()}
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, " ".join(_WORDS[:20]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ("score", "kept", "n_lines", "class_id", "is_first", "mark", "holds_item", "column_0", "id")
+    for rows in (odd(spark), none(spark)):
+        docs = rows.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == docs.count()
+    twice = table(spark, [(1, "t u v"), (1, "t u v"), (None, "u v w"), (None, "u v w"), (None, "u v w")])
+    assert sorted(r.text for r in corpus_pipeline.drop_near_duplicates(spark, twice, "").collect()) == ["t u v", "u v w"]
+
+
+def test_kept_columns_that_clash_and_ids_that_are_no_numbers(spark):
+    docs = odd(spark).withColumn("SCORE", F.lit(1)).withColumn("n_tokens", F.lit(2)).withColumn("a.b", F.lit(3))
+    assert toxicity.score(docs, toxicity.Machine(), keep=("doc_id", "SCORE", "a.b")).columns == ["doc_id", "SCORE_kept", "a.b", "score"]
+    assert bpe.encode_texts(docs, keep=("n_tokens",), with_ids=False).columns[:2] == ["n_tokens_kept", "n_tokens"]
+    for call in (fingerprints.with_next, lines.dedup_lines, neardups.near_duplicates, licenses.scan_licenses):
+        with pytest.raises(ValueError):
+            call(docs.withColumn("doc_id", F.lit("x")))
+
+
+def test_lines_of_rows_without_id_and_repeated_ids(spark):
+    long = ["Line number one that is long", "Line number two that is long"]
+    docs = [(i, "\n".join(long)) for i in range(3)] + [(None, f"a\n{long[0]}\nb"), (None, f"{long[1]}\nc"), (1, f"{long[0]}\nd\n{long[0]}"), (1, f"{long[0]}\nd\n{long[0]}")]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_dropped, r.kept) for r in lines.dedup_lines(table(spark, docs)).collect())
+    assert got == [(-1, 1, "a\nb"), (-1, 1, "c"), (0, 2, ""), (1, 2, ""), (1, 2, "d"), (1, 2, "d"), (2, 0, "\n".join(long))]
+
+
+def test_items_with_a_common_stem_make_no_candidates():
+    rng = random.Random(9)
+    stem = " ".join(rng.choices(_WORDS, k=30))
+    items = [stem + " " + " ".join(rng.choices(_WORDS, k=40)) for _ in range(300)]
+    index = decontamination.ItemIndex(items)
+    docs = [stem + " " + " ".join(rng.choices(_WORDS, k=500)) for _ in range(30)] + [items[7] + " and " + items[8], " ".join(items[9].split()[:64])]
+    seen = []
+    index._containment, plain = lambda v, o, r, i: seen.append(len(r)) or plain(v, o, r, i), index._containment
+    rows, found, share = index.search(text_array(pa.array(docs)))
+    assert sorted(zip(rows, found)) == [(30, 7), (30, 8), (31, 9)] and seen[0] < 10
+    sets = [shingle_set(t) for t in items]
+    for r, i, s in zip(rows, found, share):
+        assert s == pytest.approx(len(sets[i] & shingle_set(docs[r])) / len(sets[i]))
+
+
+def plain_kernel(a, b):
+    """The gap-weighted kernel by listing all pairs of subsequences."""
+    from itertools import combinations
+
+    def listed(x):
+        out = defaultdict(float)
+        for i, j, k in combinations(range(len(x)), 3):
+            out[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    dot = lambda x, y: sum(w * y[k] for k, w in x.items())
+    x, y = listed(a), listed(b)
+    return dot(x, y) / math.sqrt(max(dot(x, x) * dot(y, y), 1e-12))
+
+
+def test_kernel_equals_all_subsequences_listed():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcде世", k=n)) for n in (1, 2, 4, 9, 10, 17, 39, 40, 45, 60)]
+    some, _, at = toxicity.units(text_array(pa.array(texts)))
+    whole = some.take(at[:-1])
+    assert [b - a for a, b in zip(whole.first, whole.last)] == [len(t) + 1 for t in texts]
+    got = toxicity.kernel(whole, whole)
+    cut = [tuple(whole.symbol[a:b]) for a, b in zip(whole.first, whole.last)]
+    for i, a in enumerate(cut):
+        for j, b in enumerate(cut):
+            assert got[i, j] == pytest.approx(plain_kernel(a, b), abs=2e-5)
+    machine = toxicity.Machine()
+    code = np.random.default_rng(1).normal(size=toxicity.SYMBOLS**3).astype(np.float32)
+    machine.table = code
+    for value, a in zip(machine.rate(whole), cut):
+        dense = toxicity.whole_features(np.array(a))
+        assert value == pytest.approx(-1 + (dense @ code) / max(np.linalg.norm(dense), 1e-6), abs=1e-3)
+
+
+def small_network():
+    counts = np.arange(3000, 0, -1)
+    own = np.where(np.arange(3000) < language_model.OWN, np.arange(3000), -1)
+    return language_model.Network(language_model.Statistics(10**6, 3000, 50, np.arange(3000), counts, own, counts[: language_model.OWN], np.full(language_model.SUFFIX_CLASSES, 90.0)))
+
+
+def test_language_model_gradients_equal_differences():
+    net, rng = small_network(), np.random.default_rng(2)
+    net.load(net.flat().astype(np.float64))
+    x, y = rng.integers(0, language_model.START_ID + 1, (6, 3)), rng.integers(0, language_model.END_ID + 1, (6, 3))
+    y[5, 2], fresh, state = -1, rng.random((6, 3)) < 0.2, rng.normal(size=(3, language_model.HIDDEN))
+    flat = net.flat()
+    slope = np.zeros_like(flat)
+    net.window(x, y, fresh, state, net._views(slope))
+    net.load(flat)
+    spare = net._views(np.zeros_like(flat))
+    for at in rng.choice(np.flatnonzero(np.abs(slope) > 1e-4), 40, replace=False):
+        both = []
+        for step in (1e-5, -1e-5):
+            flat[at] += step
+            both.append(net.window(x, y, fresh, state, spare)[1])
+            flat[at] -= step
+        assert slope[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_language_model_scores_equal_one_plain_loop():
+    net, rng = small_network(), np.random.default_rng(3)
+    net.ready()
+    texts = [rng.integers(0, language_model.END_ID + 1, n) for n in (200, 1, 65, 64, 63)]
+    got = net.score(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for text, value in zip(texts, got):
+        state, before, total = np.zeros(language_model.HIDDEN), language_model.START_ID, 0.0
+        for i in text:
+            gate = 1 / (1 + np.exp(-p["gate"][before]))
+            state, before = gate * state + (1 - gate) * np.tanh(p["new"][before]), i
+            kinds = softmax(state @ p["wc"] + p["bc"])
+            assert kinds.sum() == pytest.approx(1)
+            total += np.log10(kinds[net.target_class(np.array(i))])
+            if i < language_model.OWN:
+                k = i // language_model.SIZE
+                total += np.log10(softmax(p["wo"][k] @ state + p["bo"][k])[i % language_model.SIZE])
+        assert value == pytest.approx(total, rel=1e-4)
