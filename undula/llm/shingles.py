@@ -21,8 +21,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Words beyond this many bytes are hashed one by one.
-_LONG = 48
+#: Words of more bytes than this are hashed one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * _FACTOR)
+#: What of eight bytes, the first of them lowest, belongs to a run that has so many left.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
+def blank(data: np.ndarray) -> np.ndarray:
+    """True for ``[\\x20\\x09-\\x0D]``."""
+    return (data == 32) | ((data - np.uint8(9)) < 5)
 
 
 def runs(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,29 +61,28 @@ def runs(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run."""
-    length = ends - starts
-    out = np.zeros(len(starts), U)
-    short = np.flatnonzero(length <= _LONG)
-    at, n = starts[short], length[short]
-    order = np.argsort(-n, kind="stable")
-    at, left = at[order], np.bincount(n, minlength=_LONG + 2)
-    live = np.cumsum(left[::-1])[::-1]  # live[k]: runs of at least k bytes
-    h = np.full(len(at), _FACTOR, U)
-    for k in range(int(n.max()) if len(n) else 0):
-        m = int(live[k + 1])
-        h[:m] = h[:m] * _CHAIN + _BYTE[data[at[:m] + k]]
-    out[short[order]] = h
-    for i in np.flatnonzero(length > _LONG):
+    """A 64-bit hash of each byte run, made of eight of its bytes at a time."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    at, left = starts, ends - starts
+    out = (left.astype(U) + _FACTOR) * _CHAIN
+    for i in np.flatnonzero(left > _LONG):
         out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return mix(out)
+    live = np.flatnonzero(left <= _LONG)
+    at, left = at[live], left[live]
+    while len(live):
+        part = eight[at] & _MASK[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ part)
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and n+1 offsets of the texts into them."""
     data, offsets = text_bytes(texts)
-    data = LOWER[data]
-    starts, ends = runs(~SPACE[data], offsets)
+    data = lower(data)
+    starts, ends = runs(~blank(data), offsets)
     return hash_runs(data, starts, ends), np.searchsorted(starts, offsets)
 
 
@@ -91,10 +101,10 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         full = np.repeat(n >= WORDS, count)
         out[full] = chain[np.flatnonzero(full) + inside]
     for i in np.flatnonzero((n > 0) & (n < WORDS)):
-        one = _FACTOR * U(n[i])
-        for x in h[at[i] : at[i + 1]]:
-            one = one * _CHAIN + x
-        out[ends[i]] = one
+        one = _FACTOR * np.full(1, n[i], U)
+        for k in range(at[i], at[i + 1]):
+            one = one * _CHAIN + h[k : k + 1]
+        out[ends[i]] = one[0]
     return mix(out), ends
 
 
