@@ -4,8 +4,10 @@ Tokens are words (runs of characters other than ``[\\x20\\x09-\\x0D]``, A-Z lowe
 token's probability is that of its class, given the state, times its own within the class.  The most
 frequent words fill classes of equal size, and within those a second softmax depends on the state.  All
 other words fall into classes by their last two bytes; within those, a word has its add-one share of the
-counts over the whole training corpus.  The network is trained by truncated backpropagation in
-numpy, on all training texts: they are dealt to tasks whose number grows with the corpus, each round
+counts over the whole training corpus.  The recurrent unit is the
+minimal gated one of Feng et al., "Were RNNs All We Needed?" (2024), whose gate and candidate depend on
+the input alone: state = gate * state + (1 - gate) * candidate.  It is trained by truncated
+backpropagation in numpy, on all training texts: they are dealt to tasks whose number grows with the corpus, each round
 starts all tasks from the same parameters, and the parameters that they reach are averaged.  In scoring,
 the state is carried from window to window through the whole text.
 
@@ -25,18 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import crc_mod, cut, slices, text_array, text_bytes
-from undula.llm.shingles import LOWER, SPACE, hash_runs, runs
+from undula.llm.common import crc_mod, cut, id_column, named, slices, text_array, text_bytes
+from undula.llm.shingles import blank, hash_runs, lower, runs
 
 #: Words whose counts are broadcast, at most; words with an output of their own, and their classes.
-FREQUENT, OWN, OWN_CLASSES = 1 << 17, 2048, 64
+FREQUENT, OWN, OWN_CLASSES = 1 << 17, 2048, 32
 #: Classes of the other words, and the class of the end.
 SUFFIX_CLASSES = 32
 #: Units of the state; steps of a window in training and in scoring; texts scored side by side.
-HIDDEN, TRAIN_STEPS, STEPS, LANES = 32, 16, 64, 256
+HIDDEN, TRAIN_STEPS, STEPS, LANES = 24, 16, 64, 512
 #: Training texts are cut into pieces of at most PIECE tokens, each trained on in one of ROUNDS; a task has
 #: about TASK_TOKENS over all rounds, and lays BLOCK of them at a time into at most TRAIN_LANES lanes.
-PIECE, ROUNDS, TASK_TOKENS, BLOCK, TRAIN_LANES = 4096, 4, 1 << 22, 1 << 18, 256
+PIECE, ROUNDS, TASK_TOKENS, BLOCK, TRAIN_LANES = 4096, 4, 1 << 22, 1 << 18, 512
 #: A corpus of fewer tokens is gone through repeatedly, at most MOST_PASSES times.
 FEW_TOKENS, MOST_PASSES = 1 << 20, 4
 #: Adam's rate in the first round; it falls evenly from round to round.
@@ -53,8 +55,8 @@ END_ID, START_ID = OWN + SUFFIX_CLASSES, OWN + SUFFIX_CLASSES + 1
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, suffix classes and n+1 offsets of the texts, ends left out."""
     data, at = text_bytes(texts)
-    data = LOWER[data]
-    starts, ends = runs(~SPACE[data], at)
+    data = lower(data)
+    starts, ends = runs(~blank(data), at)
     last = data[ends - 1].astype(np.int64)
     before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
     return hash_runs(data, starts, ends).view(np.int64), (last * 31 + before * 7) % SUFFIX_CLASSES, np.searchsorted(starts, at)
@@ -79,18 +81,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """The recurrent network."""
+    """The recurrent network: the state is a mean of what the inputs bring in, which their gates weigh."""
 
     def __init__(self, stats: Statistics, seed: int = 3):
         rng = np.random.default_rng(seed)
-        norm = lambda *shape, by=0.1: (rng.standard_normal(shape) * by).astype(np.float32)
+        norm = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
         h = HIDDEN
         by_class = np.concatenate((stats.own_counts.reshape(OWN_CLASSES, SIZE).sum(1), stats.suffix_mass, [stats.docs])).astype(np.float64) + 1
         own = stats.own_counts.reshape(OWN_CLASSES, SIZE).astype(np.float64)
         self.p = {
-            "embed": norm(START_ID + 1, h, by=0.3), "wx": norm(h, 3 * h, by=0.2), "bx": np.zeros(3 * h, np.float32), "wh": norm(h, 3 * h, by=0.2),
+            # gates begin so that units forget at different paces
+            "gate": norm(START_ID + 1, h, by=0.3) + np.linspace(-2, 3, h, dtype=np.float32), "new": norm(START_ID + 1, h, by=0.5),
             "wc": norm(h, CLASSES, by=0.05), "bc": np.log(by_class / by_class.sum()).astype(np.float32),
-            "wo": norm(OWN_CLASSES, SIZE, h, by=0.02), "bo": np.log((own + 1e-3) / (own + 1e-3).sum(1, keepdims=True)).astype(np.float32),
+            "wo": norm(OWN_CLASSES, SIZE, h, by=0.05), "bo": np.log((own + 1e-3) / (own + 1e-3).sum(1, keepdims=True)).astype(np.float32),
         }
         self.filled = own > 0  # places of classes that no word fills have no probability
         self.p["bo"][~self.filled] = -1e4
@@ -126,126 +129,128 @@ class Network:
             lanes = min(TRAIN_LANES, max(1, len(y) // (16 * TRAIN_STEPS)))
             length = -(-len(y) // lanes)
             rest = (0, lanes * length - len(y))
-            y = np.pad(y, rest, constant_values=-1).reshape(lanes, length).T
-            x = np.pad(x, rest, constant_values=START_ID).reshape(lanes, length).T
-            fresh = np.pad(fresh, rest, constant_values=True).reshape(lanes, length).T
+            y = np.ascontiguousarray(np.pad(y, rest, constant_values=-1).reshape(lanes, length).T)
+            x = np.ascontiguousarray(np.pad(x, rest, constant_values=START_ID).reshape(lanes, length).T)
+            fresh = np.ascontiguousarray(np.pad(fresh, rest, constant_values=True).reshape(lanes, length).T)
             state = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(0, length, TRAIN_STEPS):
                 at = slice(t, t + TRAIN_STEPS)
                 slope[:] = 0
-                state = self._window(x[at], y[at], fresh[at], state, grads)
+                state, _ = self.window(x[at], y[at], fresh[at], state, grads)
                 turn += 1
                 slope *= min(1.0, 1.0 / (float(np.sqrt(np.dot(slope, slope))) + 1e-9))
-                m += 0.1 * (slope - m)
-                v += 0.01 * (slope * slope - v)
+                m += np.float32(0.1) * (slope - m)
+                v += np.float32(0.01) * (slope * slope - v)
                 flat -= np.float32(rate / (1 - 0.9**turn)) * m / (np.sqrt(v / np.float32(1 - 0.99**turn)) + np.float32(1e-6))
         return total
 
-    def _window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, state: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
-        """Put the gradients of the mean loss over a window into g (zeros before); returns the state after it."""
+    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, state: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+        """Put the gradients of the mean loss over a window into g (zeros before); returns the state after it and that loss."""
         p, h = self.p, HIDDEN
         seen, place = np.unique(x, return_inverse=True)
-        place, kept = place.reshape(x.shape), (~fresh).astype(np.float32)[:, :, None]
-        known = p["embed"][seen]
-        fed = (known @ p["wx"] + p["bx"])[place]
-        pasts, gates, inner, cs, hs = (np.empty((*x.shape, n), np.float32) for n in (h, 2 * h, h, h, h))
+        place, kept = place.reshape(x.shape), (~fresh).astype(state.dtype)[:, :, None]
+        gate, new = _sigmoid(p["gate"][seen]), np.tanh(p["new"][seen])
+        u, n = gate[place], new[place]
+        pasts, states = np.empty_like(u), np.empty_like(u)
         past = state
         for s in range(len(x)):
-            pasts[s] = past * kept[s]
-            mixed = pasts[s] @ p["wh"]
-            gates[s] = _sigmoid(fed[s, :, : 2 * h] + mixed[:, : 2 * h])
-            inner[s] = mixed[:, 2 * h :]
-            cs[s] = np.tanh(fed[s, :, 2 * h :] + gates[s, :, :h] * inner[s])
-            hs[s] = past = cs[s] + gates[s, :, h:] * (pasts[s] - cs[s])
+            np.multiply(past, kept[s], out=pasts[s])
+            past = np.subtract(pasts[s], n[s], out=states[s])
+            past *= u[s]
+            past += n[s]
         live = y >= 0
-        target, out = y[live], hs[live]
-        n = np.float32(max(1, len(target)))
+        target, out = y[live], states[live]
+        each, row = 1 / out.dtype.type(max(1, len(target))), np.arange(len(target))
         cls = self.target_class(target)
-        d = out @ p["wc"] + p["bc"]
-        d = np.exp(d - d.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True) * n
-        d[np.arange(len(d)), cls] -= 1 / n
+        d, size = _exp(out @ p["wc"] + p["bc"])
+        loss = np.log(size / d[row, cls]).sum()
+        d *= (each / size)[:, None]
+        d[row, cls] -= each
         g["wc"][:], g["bc"][:] = out.T @ d, d.sum(0)
-        dh = d @ p["wc"].T
-        by = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[by], np.arange(OWN_CLASSES + 1))
+        slope = d @ p["wc"].T
+        by, ends = _by_class(cls)
+        mine, places = out[by], target[by] % SIZE
+        inner = np.empty_like(mine)
         for k in np.flatnonzero(np.diff(ends)):
-            some = by[ends[k] : ends[k + 1]]
-            ho = out[some]
-            q = ho @ p["wo"][k].T + p["bo"][k]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True) * n
-            q[np.arange(len(q)), target[some] % SIZE] -= 1 / n
-            dh[some] += q @ p["wo"][k]
-            g["wo"][k], g["bo"][k] = q.T @ ho, q.sum(0)
-        back = np.zeros((*y.shape, h), np.float32)
-        back[live] = dh
-        da, db = np.empty((*x.shape, 3 * h), np.float32), np.empty((*x.shape, 3 * h), np.float32)
-        carry = np.zeros_like(state)
+            some = slice(ends[k], ends[k + 1])
+            d, size = _exp(mine[some] @ p["wo"][k].T + p["bo"][k])
+            row = np.arange(len(d))
+            loss += np.log(size / d[row, places[some]]).sum()
+            d *= (each / size)[:, None]
+            d[row, places[some]] -= each
+            np.matmul(d, p["wo"][k], out=inner[some])
+            g["wo"][k], g["bo"][k] = d.T @ mine[some], d.sum(0)
+        slope[by] += inner
+        back = np.zeros_like(states)
+        back[live] = slope
+        through, carry = u * kept, np.zeros_like(state)
         for s in reversed(range(len(x))):
-            r, u, c = gates[s, :, :h], gates[s, :, h:], cs[s]
-            dn = back[s] + carry
-            dc = dn * (1 - u) * (1 - c * c)
-            da[s, :, :h] = dc * inner[s] * r * (1 - r)
-            da[s, :, h : 2 * h] = dn * (pasts[s] - c) * u * (1 - u)
-            da[s, :, 2 * h :] = dc
-            db[s, :, : 2 * h], db[s, :, 2 * h :] = da[s, :, : 2 * h], dc * r
-            carry = (dn * u + db[s] @ p["wh"].T) * kept[s]
-        g["wh"][:] = pasts.reshape(-1, h).T @ db.reshape(-1, 3 * h)
-        order = np.argsort(place, axis=None, kind="stable")
-        by_id = np.add.reduceat(da.reshape(-1, 3 * h)[order], np.searchsorted(place.ravel()[order], np.arange(len(seen))))
-        g["bx"][:], g["wx"][:] = by_id.sum(0), known.T @ by_id
-        g["embed"][seen] = by_id @ p["wx"].T
-        return past
+            back[s] += carry
+            np.multiply(back[s], through[s], out=carry)
+        both = np.concatenate((back * (pasts - n), back * (1 - u)), 2).reshape(-1, 2 * h)
+        order = np.argsort(place.astype(np.int16), axis=None, kind="stable")
+        by_id = np.add.reduceat(both[order], np.searchsorted(place.ravel()[order], np.arange(len(seen))))
+        g["gate"][seen], g["new"][seen] = by_id[:, :h] * gate * (1 - gate), by_id[:, h:] * (1 - new * new)
+        return past.copy(), float(loss * each)
 
     def ready(self) -> None:
-        """Work out what scoring reuses."""
-        self.fed = (self.p["embed"] @ self.p["wx"] + self.p["bx"]).astype(np.float32)
+        """Work out what scoring reuses: the gate of each id, and what it brings in."""
+        self.gate = _sigmoid(self.p["gate"])
+        self.brought = (1 - self.gate) * np.tanh(self.p["new"])
 
     def score(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each text's ids: of classes, and of own words within theirs."""
-        p, h = self.p, HIDDEN
+        p = self.p
         length = np.diff(offsets)
         out = np.zeros(len(length))
         order = np.argsort(-length, kind="stable")
         for first in range(0, len(order), LANES):
             lane = order[first : first + LANES]
             n = length[lane]
-            state, x = np.zeros((len(lane), h), np.float32), np.full(len(lane), START_ID)
+            state, before = np.zeros((len(lane), HIDDEN), np.float32), np.full(len(lane), START_ID)
             for t in range(0, int(n[0]), STEPS):
                 steps = min(STEPS, int(n[0]) - t)
                 active = int((n > t).sum())
                 valid = t + np.arange(steps)[:, None] < n[None, :active]
                 target = ids[np.minimum(offsets[lane[:active]][None, :] + t + np.arange(steps)[:, None], len(ids) - 1)]
-                states = np.empty((steps, active, h), np.float32)
-                counts = valid.sum(1)
+                x = np.concatenate((before[None, :active], target[:-1]))
+                gate, states = self.gate[x], self.brought[x]
+                past = state[:active]
                 for s in range(steps):
-                    a = int(counts[s])
-                    past = state[:a]
-                    fed, mixed = self.fed[x[:a]], past @ p["wh"]
-                    gates = _sigmoid(fed[:, : 2 * h] + mixed[:, : 2 * h])
-                    c = np.tanh(fed[:, 2 * h :] + gates[:, :h] * mixed[:, 2 * h :])
-                    state[:a] = c + gates[:, h:] * (past - c)
-                    states[s, :a] = state[:a]
-                    x[:a] = target[s, :a]
-                hs, ts = states[valid], target[valid]
+                    states[s] += past * gate[s]
+                    past = states[s]
+                state[:active], before[:active] = past, target[-1]
+                some, wanted = states[valid], target[valid]
                 owner = np.broadcast_to(np.arange(active), valid.shape)[valid]
-                cls = self.target_class(ts)
-                logits = hs @ p["wc"] + p["bc"]
-                logits -= logits.max(1, keepdims=True)
-                part = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(1))
-                by = np.argsort(cls, kind="stable")
-                ends = np.searchsorted(cls[by], np.arange(OWN_CLASSES + 1))
-                for k in range(OWN_CLASSES):
-                    some = by[ends[k] : ends[k + 1]]
-                    if len(some):
-                        inner = hs[some] @ p["wo"][k].T + p["bo"][k]
-                        inner -= inner.max(1, keepdims=True)
-                        part[some] += inner[np.arange(len(some)), ts[some] % SIZE] - np.log(np.exp(inner).sum(1))
+                cls = self.target_class(wanted)
+                d, size = _exp(some @ p["wc"] + p["bc"])
+                part = np.log(d[np.arange(len(d)), cls] / size)
+                by, ends = _by_class(cls)
+                mine, places, more = some[by], wanted[by] % SIZE, np.empty(len(by), np.float32)
+                for k in np.flatnonzero(np.diff(ends)):
+                    at = slice(ends[k], ends[k + 1])
+                    d, size = _exp(mine[at] @ p["wo"][k].T + p["bo"][k])
+                    more[at] = np.log(d[np.arange(len(d)), places[at]] / size)
+                part[by] += more
                 out[lane[:active]] += np.bincount(owner, part.astype(np.float64), active)
         return out / np.log(10)
 
 
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the rows less their largest (in place; none below 1e-30), and their sums."""
+    logits -= logits.max(1, keepdims=True)
+    np.maximum(logits, -69, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits.sum(1)
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of own words ordered by class, and n+1 offsets of the classes."""
+    by = np.argsort(cls.astype(np.int16), kind="stable")
+    ends = np.searchsorted(cls[by], np.arange(OWN_CLASSES + 1))
+    return by[: ends[-1]], ends
+
+
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def handed(words: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(kinds.astype(np.int32)), pa.array(n)], ["word", "suffix", "n"])
@@ -350,7 +355,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _trained(sent, rate: float):
-    """The parameters that a task reaches from those sent, times its number of tokens."""
+    """The parameters that a task reaches from those sent, and its number of tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
@@ -359,7 +364,7 @@ def _trained(sent, rate: float):
         reached = net.flat()
         net.load(start)  # a worker is used again
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([weight]), pa.array([(reached * np.float64(weight)).tobytes()], pa.binary())], ["part", "weight", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([weight]), pa.array([reached.astype(np.float32).tobytes()], pa.binary())], ["part", "weight", "reached"])
 
     return run
 
@@ -367,10 +372,10 @@ def _trained(sent, rate: float):
 def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight, total = 0, None
     for batch in batches:
-        weight += sum(batch.column("weight").to_pylist())
-        for one in batch.column("total"):
-            one = np.frombuffer(one.as_buffer(), np.float64)
-            total = one.copy() if total is None else total + one
+        for own, one in zip(batch.column("weight").to_pylist(), batch.column("reached"), strict=True):
+            weight += own
+            one = np.frombuffer(one.as_buffer(), np.float32) * np.float64(own)
+            total = one if total is None else total + one
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "total"])
 
@@ -379,7 +384,8 @@ def fit(texts: DataFrame, stats: Statistics) -> Network:
     """Train on all texts (columns id, text), wholly.
 
     Pieces are dealt by a hash, to more tasks where there are more tokens; each belongs to one round.  A
-    round's parameters are the tasks' mean, weighted by their tokens, summed in two steps.
+    round's parameters are the tasks' mean, weighted by their tokens, summed in two steps.  Where pieces
+    lie in more partitions than there are tasks to be, several make a task.
     """
     net = Network(stats)
     if stats.docs:
@@ -393,7 +399,7 @@ def fit(texts: DataFrame, stats: Statistics) -> Network:
         for k in range(passes * ROUNDS):
             sent = context.broadcast(net)
             mine = pieces.where(F.pmod("key", F.lit(ROUNDS)) == k % ROUNDS)
-            reached = mine.mapInArrow(_trained(sent, RATE * (1 - k / (passes * ROUNDS))), "part bigint, weight bigint, total binary")
+            reached = mine.coalesce(tasks).mapInArrow(_trained(sent, RATE * (1 - k / (passes * ROUNDS))), "part bigint, weight bigint, reached binary")
             sums = reached.repartition(some).sortWithinPartitions("part").mapInArrow(_summed, "weight bigint, total binary").collect()
             weight = sum(r.weight for r in sums)
             if weight:
@@ -439,25 +445,23 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     that occur in training, train_tokens all tokens there; base_score is the add-one unigram log10
     probability, score the model's.  A null text counts as empty: one end.  Without training texts every
     token is unknown.  Rows that repeat an id are told apart by their text; equal rows give equal
-    results.  An empty table gives an empty result.
+    results.  Ids are whole numbers.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.hash(text).alias("mark"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    text, own_id = F.coalesce(named(text_col), F.lit("")), id_column(docs, id_col)
+    key = [F.xxhash64(own_id, text).alias("key"), F.xxhash64(F.lit(1), own_id, text).alias("mark")]  # 128 bits of id and text
+    rows = docs.select(own_id.alias("id"), *key, text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     training = rows.where("learn").select("id", "text")
     counts = cut(count_words(training))
     stats = gather(counts, training.count())
     sent = spark.sparkContext.broadcast((fit(training, stats), stats))
-    schema = "id bigint, mark int, n_tokens bigint, n_known bigint, base double, part double, others array<bigint>, times array<int>"
-    scored = cut(rows.select("id", "mark", "text").mapInArrow(_scored(sent, ["id", "mark"]), schema))
-    once = scored.select("id", "mark", F.explode(F.arrays_zip("others", "times")).alias("o")).select("id", "mark", F.col("o.others").alias("word"), F.col("o.times").alias("times"))
-    met = once.join(counts.select("word", "n"), "word").groupBy("id", "mark").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
+    schema = "id bigint, key bigint, mark bigint, n_tokens bigint, n_known bigint, base double, part double, others array<bigint>, times array<int>"
+    scored = cut(rows.select("id", "key", "mark", "text").mapInArrow(_scored(sent, ["id", "key", "mark"]), schema))
+    once = scored.select("key", "mark", F.explode(F.arrays_zip("others", "times")).alias("o")).select("key", "mark", F.col("o.others").alias("word"), F.col("o.times").alias("times"))
+    met = once.join(counts.select("word", "n"), "word").groupBy("key", "mark").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     # equal rows were looked up together: each has its share
-    copies = scored.groupBy("id", "mark").agg(F.count("*").alias("copies")).where("copies > 1")
-    met = met.withColumnsRenamed({"id": "met_id", "mark": "met_mark"})
-    copies = copies.withColumnsRenamed({"id": "copy_id", "mark": "copy_mark"})
-    same = lambda p: F.col("id").eqNullSafe(F.col(f"{p}_id")) & (F.col("mark") == F.col(f"{p}_mark"))
-    every = scored.drop("others", "times").join(met, same("met"), "left").join(copies, same("copy"), "left")
+    copies = scored.groupBy("key", "mark").agg(F.count("*").alias("copies")).where("copies > 1")
+    every = scored.drop("others", "times").join(met, ["key", "mark"], "left").join(copies, ["key", "mark"], "left")
     share = F.coalesce("copies", F.lit(1))
     more = F.coalesce(F.col("more") / share, F.lit(0.0))
     whole = float(np.log10(stats.total + stats.distinct + 1))
@@ -473,4 +477,4 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
 def learnable(id_col: str = "doc_id") -> Column:
     """The condition of the six folds that may be learned from."""
-    return crc_mod(F.col(id_col), 7) != 2
+    return crc_mod(named(id_col), 7) != 2
