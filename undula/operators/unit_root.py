@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.sources.signals import dealt
+
+
+#: Parts of the p-values' range in which ranks are counted.
+PARTS = 256
+
 
 def _fit(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     inverse = np.linalg.pinv(x.T @ x)
@@ -29,14 +35,18 @@ def adf_pvalue(y: np.ndarray) -> float:
         rows = np.arange(skip, len(d))
         return d[rows], np.column_stack([y[rows], *[d[rows - k] for k in range(1, lags + 1)], np.ones(len(rows))])
 
-    best = None
-    for lags in range(most + 1):
-        target, x = design(lags, most)
-        _, left, _ = _fit(target, x)
-        size = len(target)
-        aic = size * (math.log(max(left, 1e-300) / size) + math.log(2 * math.pi) + 1) + 2 * x.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, lags)
+    # lags are nested: one orthogonal basis has the residuals of all of them
+    target, x = design(most, most)
+    size = len(target)
+    ordered = np.column_stack([x[:, -1], x[:, :-1]])  # the constant, the level, then lag by lag
+    basis, upper = np.linalg.qr(ordered)
+    if np.abs(np.diag(upper)).min() > 1e-9 * np.abs(np.diag(upper)).max():
+        left = target @ target - np.cumsum((basis.T @ target) ** 2)[1:]
+    else:  # columns that depend on one another, as of a line
+        left = np.array([_fit(target, np.column_stack([x[:, : lags + 1], x[:, -1]]))[1] for lags in range(most + 1)])
+    left = np.maximum(left, 1e-300)
+    aic = size * (np.log(left / size) + math.log(2 * math.pi) + 1) + 2 * (np.arange(most + 1) + 2)
+    best = (float(aic.min()), int(aic.argmin()))
     target, x = design(best[1], best[1])
     beta, left, inverse = _fit(target, x)
     room = len(target) - x.shape[1]
@@ -60,19 +70,37 @@ def pvalues(signals: DataFrame) -> DataFrame:
         return pd.DataFrame({"signal_id": ordered["signal_id"].iloc[:1], "pvalue": [adf_pvalue(ordered["value"].to_numpy())]})
 
     kind = signals.schema["signal_id"].dataType.simpleString()
-    return signals.select("signal_id", "timestamp", "value").groupBy("signal_id").applyInPandas(one, f"signal_id {kind}, pvalue double")
+    return dealt(signals.select("signal_id", "timestamp", "value"), "signal_id").groupBy("signal_id").applyInPandas(one, f"signal_id {kind}, pvalue double")
 
 
 def holm_sidak(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(signal_id, pvalue, reject): the Holm-Sidak step-down over all signals.
 
-    Ranks take one window over one row for each signal, which is all that the correction needs together.
+    Levels rise with the rank, so equal p-values fail together if the first of them does: all below the
+    least p-value that fails are rejected.  Ranks are counted within parts of the p-values' range, to which
+    the counts of the parts below are added; only these, PARTS of them, come to the driver.  A NaN or null
+    p-value fails.  `tests` is read several times: it should be a kept table.
     """
-    order = Window.orderBy("pvalue", "signal_id")
-    n = tests.count()
-    level = 1 - F.pow(F.lit(1 - alpha), 1 / (F.lit(n) - F.row_number().over(order) + 1).cast("double"))
-    failed = tests.withColumn("failed", (F.col("pvalue") > level).cast("int"))
-    return failed.select("signal_id", "pvalue", (F.max("failed").over(order) == 0).alias("reject"))
+    p = F.coalesce("pvalue", F.lit(float("nan")))
+    counts = tests.groupBy(p.alias("p")).agg(F.count("*").alias("n"))
+    steps = counts.where(~F.isnan("p")).agg(F.percentile_approx("p", [(i + 1) / PARTS for i in range(PARTS - 1)], 10_000)).first()[0] or []
+    bounds = sorted(set(steps))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("p")))
+    counts = counts.withColumn("part", part)
+    sizes = {r.part: r.n for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    n = sum(sizes.values())
+    if not n:
+        return tests.select("signal_id", "pvalue", F.lit(False).alias("reject"))
+    below, total = [], 0
+    for k in range(len(bounds) + 1):
+        below.append(total)
+        total += sizes.get(k, 0)
+    before = Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    rank = 1 + F.get(F.array(*map(F.lit, below)), F.col("part")) + F.coalesce(F.sum("n").over(before), F.lit(0))
+    level = 1 - F.pow(F.lit(1 - alpha), 1 / (F.lit(n) - rank + 1).cast("double"))
+    failed = counts.withColumn("level", level).where(F.col("p") > F.col("level")).agg(F.min("p").alias("p")).first().p
+    reject = F.lit(True) if failed is None else p < F.lit(failed)
+    return tests.select("signal_id", "pvalue", reject.alias("reject"))
 
 
 def dickey_fuller(signals: DataFrame) -> DataFrame:
