@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from undula.operators import efficiency, entropy, gaussian, transforms, unit_root
+from undula.operators import bootstrap, efficiency, entropy, gaussian, transforms, unit_root
 from undula.plans import api
 from undula.sources import signals as source
 
@@ -86,3 +86,182 @@ def test_normalise(spark):
     df = frame(spark, [("a", float(i), float(i)) for i in range(5)] + [("b", 0.0, 1.0), ("b", 1.0, 1.0)])
     out = {r.signal_id: (r.m, r.s) for r in transforms.normalise(df).groupBy("signal_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).collect()}
     assert out["a"] == pytest.approx((0.0, 1.0)) and math.isnan(out["b"][0])
+
+
+def plain_cp(x, mm, r):
+    """Conditional probability and its deviation by the counting recipe, cell by cell."""
+    n, top = len(x), mm + 1
+    width = 2 * top
+    run, r1, r2 = [0] * n, [[0] * width for _ in range(n)], [[0] * width for _ in range(n)]
+    f1, f = [[0] * top for _ in range(n)], [[0] * top for _ in range(n)]
+    a, b = [0] * top, [0] * top
+    for i in range(n - 1):
+        for lag in range(1, n - i):
+            j = i + lag
+            run[lag - 1] = run[lag - 1] + 1 if abs(x[j] - x[i]) < r else 0
+            for q in range(min(top, run[lag - 1])):
+                a[q] += 1
+                b[q] += j < n - 1
+                f1[i][q] += 1
+                f[i][q] += 1
+                f[j][q] += 1
+        r1[i] = run[:width]
+    for i in range(1, n):
+        for j in range(width if i >= width else max(0, i - 1)):
+            if i - j - 1 >= 0:
+                r2[i][j] = r1[i - j - 1][j]
+    f2 = [[f[i][q] - f1[i][q] for q in range(top)] for i in range(n)]
+    pairs = [[0] * (top + 1) for _ in range(top)]
+    for q in range(top):
+        pairs[q][0] = sum(f[i][q] * (f[i][q] - 1) for i in range(n))
+        for d in range(min(q + 1, top - 1) + 1):
+            for i in range(d + 1, n):
+                k = i - d - 1
+                n2 = f2[i][q] - sum(r2[i][j] >= q + 1 for j in range(min(width, 2 * (d + 1))))
+                n3 = f1[k][q] - sum(r1[k][j] >= q + 1 for j in range(min(width, 2 * d + 1)))
+                pairs[q][d + 1] += 2 * (f1[i][q] + n2) * (n3 + f2[k][q])
+    b = [n * (n - 1) / 2, *b[:-1]]
+    q = top - 1
+    p = a[q] / b[q]
+    first = sum(pairs[q - 1][: q + 1]) if q else n * (n - 1) * (n - 2)
+    return p, math.sqrt(p * (1 - p) / b[q] + max(0, (sum(pairs[q][: q + 1]) - first * p * p) / b[q] ** 2))
+
+
+@pytest.mark.parametrize("m", [1, 2])
+def test_conditional_probability_and_deviation_equal_plain_counting(m):
+    for seed in range(4):
+        x = np.random.default_rng(seed).normal(size=40)
+        assert efficiency.cp_and_sd(x, m, 0.6) == pytest.approx(plain_cp(x, m, 0.6))
+
+
+def test_long_signals_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(entropy, "BLOCK", 7)
+    x = np.random.default_rng(5).normal(size=50)
+    df = frame(spark, [("a", float(i), float(v)) for i, v in enumerate(x)] + [("b", 0.0, 1.0)])
+    got = {(r.signal_id, r.m, r.r): r.sampen for r in entropy.grid_entropy(df, [(1, 0.3), (2, 0.5), (3, 0.9)]).collect()}
+    for (k, m, r), value in got.items():
+        assert value == pytest.approx(brute(x, m, r) if k == "a" else float("nan"), nan_ok=True)
+
+
+def test_grouped_replicates_equal_built_in_ones(spark):
+    x = np.random.default_rng(6).normal(size=(2, 30))
+    df = frame(spark, [(str(k), float(i), float(v)) for k in range(2) for i, v in enumerate(x[k])])
+    for p in (0.1, 0.6):
+        rows = bootstrap.grid_replicates(df, [(1, 0.4), (2, 0.7)], p, 40, 3).collect()
+        want = {(r.signal_id, r.m, r.rep): r.sampen for r in rows}
+        made = bootstrap.trial_replicates(df, [(1, 1, 0.4, p), (2, 2, 0.7, p)], 40, 3).collect()
+        got = {(r.signal_id, r.trial, r.rep): r.sampen for r in made if r.rep >= 0}
+        assert got == {k: pytest.approx(v, nan_ok=True) for k, v in want.items()}
+        own = {(r.signal_id, r.trial): r.sampen for r in made if r.rep < 0}
+        assert own["0", 1] == pytest.approx(brute(x[0], 1, 0.4)) and len(own) == 4
+
+
+def test_resampled_blocks_have_geometric_lengths():
+    draws = bootstrap._draws("a", range(200), 100, 1)
+    rows = bootstrap.index_rows(draws, 0.2)
+    assert rows.shape == (200, 100) and rows.min() >= 0 and rows.max() < 100
+    new = np.diff(rows, axis=1) % 100 != 1
+    lengths = [len(part) for row in new for part in np.split(row, np.flatnonzero(row))[1:-1]]
+    assert np.mean(lengths) == pytest.approx(5, rel=0.1) and np.std(lengths) == pytest.approx(math.sqrt(20), rel=0.15)
+
+
+def test_gaussian_process_values():
+    k, y = np.array([[1, 1 / 2, 0], [1 / 2, 1, 1 / 3], [0, 1 / 3, 1]]), np.array([1.0, 2, 3])
+    assert gaussian.solve(np.linalg.cholesky(k), y) == pytest.approx(np.linalg.solve(k, y))
+    rng = np.random.default_rng(1)
+    big = rng.normal(size=(150, 150))
+    big = big @ big.T + np.eye(150)
+    assert gaussian.solve(np.linalg.cholesky(big), big[0]) == pytest.approx(np.linalg.solve(big, big[0]), abs=1e-8)
+    x = np.array([[1.0, 2.0], [3.0, 4.0]])
+    assert gaussian.fit(x, np.array([5.0, 6.0]), 0.5) == pytest.approx([5, 6], abs=2e-5)
+    at = np.array([[1.0, 1.0], [2.0, 2.0]])
+    direct = [sum(w * math.exp(-2 * sum((p - q) ** 2 for p, q in zip(a, b))) for b, w in zip(x, (5.0, 6.0))) for a in at]
+    assert gaussian.predict(x, at, 0.5, np.array([5.0, 6.0])) == pytest.approx(direct)
+    y = np.random.default_rng(17).normal(size=10)
+    assert gaussian.Process(y, 0.5, 1e-6, False).error(3, "neg_mean_squared_error") == pytest.approx(0.7484052691169865, abs=1e-7)
+    with pytest.raises(ValueError):
+        gaussian.detrend_array(np.zeros(gaussian.MOST_POINTS + 1), np.array([1.0]), 3, 1e-6)
+
+
+def test_folds(spark):
+    got = sorted(map(tuple, gaussian.folds(frame(spark, [("a", float(i), 0.0) for i in range(6)]), 3).collect()))
+    assert got == [("a", 0, 3, 4), ("a", 1, 4, 5), ("a", 2, 5, 6)]
+
+
+def test_unit_root_lags_equal_separate_fits():
+    for seed in range(3):
+        y = np.cumsum(np.random.default_rng(seed).normal(size=90)) if seed else np.random.default_rng(9).normal(size=90)
+        d, n = np.diff(y), 90
+        most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+        scores = []
+        for lags in range(most + 1):
+            rows = np.arange(most, len(d))
+            x = np.column_stack([np.ones(len(rows)), y[rows], *[d[rows - k] for k in range(1, lags + 1)]])
+            left = float(np.sum((d[rows] - x @ np.linalg.lstsq(x, d[rows], rcond=None)[0]) ** 2))
+            scores.append(len(rows) * math.log(left / len(rows)) + 2 * x.shape[1])
+        lags = int(np.argmin(scores))
+        rows = np.arange(lags, len(d))
+        x = np.column_stack([np.ones(len(rows)), y[rows], *[d[rows - k] for k in range(1, lags + 1)]])
+        beta = np.linalg.lstsq(x, d[rows], rcond=None)[0]
+        t = beta[1] / math.sqrt(np.sum((d[rows] - x @ beta) ** 2) / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        z = 2.1659 + 1.4412 * t + 0.038269 * t * t if t <= -1.61 else 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t**3
+        assert unit_root.adf_pvalue(y) == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)) if -18.83 <= t <= 2.74 else float(t > 0), rel=1e-6)
+
+
+def test_step_down_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(unit_root, "PARTS", 5)
+    rng = np.random.default_rng(3)
+    for ps in ([0.001, 0.001, 0.02, 0.3, 1.0, float("nan")], [0.9], list(rng.random(60) ** 6), [0.0] * 7 + [1.0]):
+        got = {r.signal_id: r.reject for r in unit_root.holm_sidak(spark.createDataFrame([(i, float(p)) for i, p in enumerate(ps)], "signal_id int, pvalue double")).collect()}
+        stop, want = False, {}
+        for k, i in enumerate(sorted(range(len(ps)), key=lambda i: (math.isnan(ps[i]), ps[i], i))):
+            stop = stop or not ps[i] <= 1 - 0.95 ** (1 / (len(ps) - k))
+            want[i] = not stop
+        assert got == want
+    assert unit_root.holm_sidak(spark.createDataFrame([], "signal_id int, pvalue double")).count() == 0
+
+
+WRONG_ENTROPY = [{"r_range": (0.5, 0.1)}, {"r_range": (-0.1, 0.5)}, {"m_range": (3, 1)}, {"m_range": (1.5, 3)}, {"m_range": (1, 3.5)}, {"p_range": (0.99, 0.01)}, {"p_range": (-0.01, 0.99)}, {"p_range": (0.01, 1.1)}, {"m": -1}, {"m": 0}, {"m": 1.5}, {"r": -0.1}, {"r": 0}, {"p": -0.1}, {"p": 1.1}, {"p": 1}, {"p": 0}, {"lam": -0.1}, {"n_boot": -1}, {"n_boot": 0}, {"n_boot": 1.5}, {"n_trials": -1}, {"n_trials": 0}, {"n_trials": 1.5}, {"random_seed": -1}, {"random_seed": 1.5}, {"signal_id": 123}, {"timestamp": 123}, {"value_col": 123}, {"objective": "other"}, {"m_range": (1, 999)}]
+WRONG_STATIONARY = [{"method": "other"}, {"detrend_type": "other"}, {"alpha": 0}, {"alpha": 1.5}, {"ls_range": (10.0, 1.0)}, {"ls_range": (-1.0, 1.0)}, {"n_searches": 0}, {"n_splits": 1.5}, {"random_seed": "x"}, {"eps": -1.0}, {"gp_implementation": "other"}, {"sklearn_scoring": "other"}]
+
+
+def test_wrong_arguments_raise(spark):
+    df = frame(spark, [("a", float(i), float(i % 3)) for i in range(9)])
+    for kind, cases in ((api.SampleEntropy, WRONG_ENTROPY), (api.StationarySignals, WRONG_STATIONARY)):
+        for case in cases:
+            with pytest.raises(ValueError):
+                kind(df, **case)
+    made = api.SampleEntropy(df)
+    assert (made.n_boot, made.n_trials, made.random_seed, made.r_range, made.m_range, made.p_range, made.lam) == (100, 100, None, (0.1, 0.5), (1, 3), (0.01, 0.99), 0.33)
+
+
+def test_stationary_ids_and_trial_tables(spark):
+    line, sine = np.linspace(0, 100, 100), np.sin(np.linspace(0, 2 * np.pi, 100))
+    df = frame(spark, [("abc", float(i), float(v)) for i, v in enumerate(line)] + [("def", float(i), float(v)) for i, v in enumerate(sine)])
+    noise = np.random.default_rng(17).uniform(-5, 5, (2, 100))
+    kept = api.StationarySignals(frame(spark, [("xy"[k], float(i), float(v)) for k in range(2) for i, v in enumerate(noise[k])]), normalize_signals=False)
+    out = kept.make_stationary_signals()
+    assert out.count() == 198 and kept.stationary_frac_ == 1 and {r.signal_id for r in kept.stationary_signals_.collect()} == {"x", "y"}
+    kept.release()
+    for how in ("numba", "sklearn"):
+        gp = api.StationarySignals(df, method="detrend", gp_implementation=how, random_seed=1, n_searches=3)
+        assert gp.make_stationary_signals().columns == ["signal_id", "timestamp", "value"] and 0 <= gp.stationary_frac_ <= 1
+    search = api.SampleEntropy(df, n_boot=50, n_trials=12, batch=4, m=1, random_seed=2, r_range=(0.1, 3.0))
+    with pytest.raises(ValueError):
+        search.get_optimization_results()
+    m, r, p = search.find_optimal_sampen_params()
+    assert m == 1 and 0.1 <= r <= 3 and 0.01 <= p <= 0.99
+    table = search.get_optimization_results()
+    assert table.columns == ["number", "value", "params_p", "params_r"] and table.count() == 12
+    found = search.compute_all_sampen(estimate_uncertainty=True).collect()
+    assert len(found) == 2 and all(x.se_sampen >= 0 for x in found)
+
+
+def test_efficiency_by_bootstrap(spark):
+    x = np.random.default_rng(4).normal(size=(3, 40))
+    df = frame(spark, [(str(k), float(i), float(v)) for k in range(3) for i, v in enumerate(x[k])])
+    best = api.SampEnEfficiency(df, 1, (0.4, 0.8), r_step_size=0.2, interpolation_step_size=0.1, objective="bootstrap", n_boot=20)
+    table = {(r.signal_id, r.r): r.objective for r in best.table().collect()}
+    one = bootstrap.standard_error(df, 1, best.rs[0], 0.5, 20, 0).where("signal_id = '1'").first().se_sampen
+    assert table["1", best.rs[0]] == pytest.approx(max(one, one / brute(x[1], 1, best.rs[0])))
+    assert len(best.compute_all_sampen().collect()) == 3 and best.r_star_ in best.points

@@ -1,13 +1,27 @@
-"""The stationary bootstrap, step by step, and what it says of sample entropy."""
+"""The stationary bootstrap, step by step, and what it says of sample entropy.
+
+Draws are keyed by seed, signal, replicate and step alone.  The built-in form resamples once for all points
+of a grid; the grouped form works off many trials, each with its own block length, in one pass over the
+signals.  Both make the same replicates.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.functions.draws import uniform
-from undula.operators.entropy import sample_entropy
+from undula.operators.entropy import grid_entropy, sampen_rows
 from undula.operators.transforms import by_time
+from undula.sources.signals import dealt
+
+#: Replicates that one task of the grouped form makes of a signal, at most.
+REPS_AT_ONCE = 32
 
 
 def indices(signals: DataFrame, p: float, reps: int, seed: int) -> DataFrame:
@@ -31,17 +45,64 @@ def resample(signals: DataFrame, p: float, reps: int, seed: int) -> DataFrame:
     return indices(signals, p, reps, seed).join(points, ["signal_id", "idx"]).select("signal_id", "rep", F.col("k").cast("double").alias("timestamp"), "value")
 
 
-def replicate_entropy(signals: DataFrame, m: int, r: float, p: float, reps: int, seed: int) -> DataFrame:
-    """(signal_id, rep, sampen)."""
-    return sample_entropy(resample(signals, p, reps, seed), m, r, ("signal_id", "rep"))
+def grid_replicates(signals: DataFrame, grid: list[tuple[int, float]], p: float, reps: int, seed: int) -> DataFrame:
+    """(signal_id, rep, m, r, sampen): one resampling and one join for the whole grid."""
+    return grid_entropy(resample(signals, p, reps, seed), grid, ("signal_id", "rep"))
 
 
 def standard_error(signals: DataFrame, m: int, r: float, p: float, reps: int, seed: int) -> DataFrame:
     """(signal_id, se_sampen): the population deviation over replicates; NaN if one of them is NaN."""
-    return replicate_entropy(signals, m, r, p, reps, seed).groupBy("signal_id").agg(F.stddev_pop("sampen").alias("se_sampen"))
+    return grid_replicates(signals, [(m, r)], p, reps, seed).groupBy("signal_id").agg(F.stddev_pop("sampen").alias("se_sampen"))
 
 
 def mean_squared_error(signals: DataFrame, m: int, r: float, p: float, reps: int, seed: int) -> DataFrame:
     """(signal_id, mse): the mean squared distance of replicates from the signal's own entropy."""
-    own = sample_entropy(signals, m, r).withColumnRenamed("sampen", "own")
-    return replicate_entropy(signals, m, r, p, reps, seed).join(own, "signal_id").groupBy("signal_id").agg(F.avg(F.pow(F.col("sampen") - F.col("own"), 2)).alias("mse"))
+    own = grid_entropy(signals, [(m, r)])
+    return spread(grid_replicates(signals, [(m, r)], p, reps, seed), own, ("m", "r")).select("signal_id", "mse")
+
+
+def spread(replicates: DataFrame, own: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(signal_id, by, sampen, se_sampen, mse): what replicates' entropies say of the signals' own; NaN if one is NaN."""
+    own = own.select("signal_id", *by, F.col("sampen").alias("own"))
+    met = replicates.join(own, ["signal_id", *by])
+    return met.groupBy("signal_id", *by).agg(F.first("own").alias("sampen"), F.stddev_pop("sampen").alias("se_sampen"), F.avg(F.pow(F.col("sampen") - F.col("own"), 2)).alias("mse"))
+
+
+def _draws(name: str, reps: Iterable[int], n: int, seed: int) -> np.ndarray:
+    """The uniform numbers of `indices`: (reps, n, 2)."""
+    text = (f"{seed}:{name}:{rep}:{k}:{which}".encode() for rep in reps for k in range(n) for which in (1, 2))
+    return np.array([int(hashlib.md5(t).hexdigest()[:8], 16) for t in text], float).reshape(-1, n, 2) / 4294967296.0
+
+
+def index_rows(draws: np.ndarray, p: float) -> np.ndarray:
+    """`indices` as an array (reps, n), from the uniform numbers."""
+    n, k = draws.shape[1], np.arange(draws.shape[1])
+    new = (draws[:, :, 0] < p) | (k == 0)
+    last = np.maximum.accumulate(np.where(new, k, 0), 1)
+    start = np.floor(draws[:, :, 1] * n).astype(np.int64) - k
+    return (np.take_along_axis(start, last, 1) + k) % n
+
+
+def trial_replicates(signals: DataFrame, trials: list[tuple[int, int, float, float]], reps: int, seed: int) -> DataFrame:
+    """(signal_id, trial, rep, sampen) for trials (number, m, r, p); rep is -1 for the signal's own entropy.
+
+    A task has one signal and REPS_AT_ONCE of its replicates, for all trials: the draws are the same.
+    """
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // REPS_AT_ONCE))).alias("block")
+    points = signals.select("signal_id", F.col("signal_id").cast("string").alias("name"), "timestamp", "value", blocks)
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        ordered = part.sort_values(["timestamp", "value"], kind="stable")
+        x, block = ordered["value"].to_numpy(float), int(ordered["block"].iloc[0])
+        mine = np.arange(block * REPS_AT_ONCE, min(reps, (block + 1) * REPS_AT_ONCE))
+        draws = _draws(ordered["name"].iloc[0], mine, len(x), seed)
+        out = []
+        for number, m, r, p in trials:
+            found, of = sampen_rows(x[index_rows(draws, p)], m, r), mine
+            if block == 0:
+                found, of = np.append(found, sampen_rows(x[None], m, r)), np.append(of, -1)
+            out.append(pd.DataFrame({"signal_id": [ordered["signal_id"].iloc[0]] * len(of), "trial": np.int32(number), "rep": of.astype(np.int32), "sampen": found}))
+        return pd.concat(out)
+
+    kind = signals.schema["signal_id"].dataType.simpleString()
+    return dealt(points, "signal_id", "block").groupBy("signal_id", "block").applyInPandas(one, f"signal_id {kind}, trial int, rep int, sampen double")

@@ -1,4 +1,10 @@
-"""The efficiency criterion for the tolerance r: relative error of the conditional probability."""
+"""The efficiency criterion for the tolerance r: relative error of the conditional probability.
+
+After Lake, Richman, Griffin and Moorman, "Sample entropy analysis of neonatal heart rate variability"
+(2002).  Three habits of the published counting are kept, as results depend on them: cells of lags past the
+signal's end hold the run that was last there, a point's pairs with earlier ones leave out one more place
+near the signal's start, and the last point's row stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undula.sources.signals import dealt
+
 
 def cp_and_sd(x: np.ndarray, m: int, r: float) -> tuple[float, float]:
     """Conditional probability of a match of length m + 1, and its deviation from overlapping pairs.
@@ -73,7 +81,7 @@ def cp_table(signals: DataFrame, m: int, rs: list[float]) -> DataFrame:
 
     grid = signals.select("signal_id", "timestamp", "value", F.explode(F.array(*[F.lit(float(r)) for r in rs])).alias("r"))
     kind = signals.schema["signal_id"].dataType.simpleString()
-    return grid.groupBy("signal_id", "r").applyInPandas(one, f"signal_id {kind}, r double, cp double, sd double")
+    return dealt(grid, "signal_id", "r").groupBy("signal_id", "r").applyInPandas(one, f"signal_id {kind}, r double, cp double, sd double")
 
 
 def criterion(table: DataFrame) -> DataFrame:

@@ -6,44 +6,77 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Templates of one block: a signal's blocks are joined pair by pair, so a task never meets all of a long signal.
+BLOCK = 2048
 
-def match_counts(signals: DataFrame, m: int, r: float, by: tuple[str, ...] = ("signal_id",)) -> DataFrame:
-    """(by, n_a, n_b): pairs of templates of length m + 1, and of length m, nearer than r in each point.
 
-    Both counts are over templates that have an (m+1)th point.  Templates of one signal meet in a join on
-    its key, with the bands as its condition; pairs are streamed, never kept.
+def grid_counts(signals: DataFrame, grid: list[tuple[int, float]], by: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+    """(by, m, r, n_a, n_b) for each point (m, r) of the grid, from one join for all of them.
+
+    n_a counts pairs of templates of length m + 1 that are nearer than r in each point, n_b those of length
+    m; both are over templates that have an (m+1)th point.  Templates of one signal meet in a join on its
+    key and a pair of its blocks, with the widest band of the grid as condition; pairs are streamed, never
+    kept.  Signals without such a pair have counts of 0.
     """
+    least, most, widest = min(m for m, _ in grid), max(m for m, _ in grid), max(r for _, r in grid)
     order = Window.partitionBy(*by).orderBy("timestamp", "value")
-    points = signals.withColumn("i", F.row_number().over(order))
-    for k in range(m + 1):
+    points = signals.select(*by, "timestamp", "value").withColumn("i", F.row_number().over(order))
+    for k in range(most + 1):
         points = points.withColumn(f"x{k}", F.lead("value", k).over(order) if k else F.col("value"))
-    points = points.where(F.col(f"x{m}").isNotNull()).select(*by, "i", *[f"x{k}" for k in range(m + 1)])
-    a, b = points.alias("a"), points.alias("b")
-    near = lambda k: F.abs(F.col(f"a.x{k}") - F.col(f"b.x{k}")) < F.lit(float(r))
+    points = points.withColumn("block", F.floor((F.col("i") - 1) / BLOCK).cast("int")).where(F.col(f"x{least}").isNotNull())
+    points = points.withColumn("top", F.max("block").over(Window.partitionBy(*by)))
+    kept = [*by, "i", *[f"x{k}" for k in range(most + 1)]]
+    a = points.select(*kept, F.col("block").alias("low"), F.explode(F.sequence("block", "top")).alias("high")).alias("a")
+    b = points.select(*kept, F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high")).alias("b")
+    near = lambda k, r: F.abs(F.col(f"a.x{k}") - F.col(f"b.x{k}")) < F.lit(float(r))
     on = F.col("a.i") < F.col("b.i")
-    for c in by:
+    for c in (*by, "low", "high"):
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    for k in range(m):
-        on = on & near(k)
-    counts = a.join(b, on).groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.count_if(near(m)).alias("n_a"), F.count("*").alias("n_b"))
-    return signals.select(*by).distinct().join(counts, list(by), "left").select(*by, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    for k in range(least):
+        on = on & near(k, widest)
+    met, counted = a.join(b, on), []
+    for n, (m, r) in enumerate(grid):
+        like = F.col(f"b.x{m}").isNotNull()  # the later template ends in the signal, hence the earlier does
+        for k in range(m):
+            like = like & near(k, r)
+        counted += [F.count_if(like & near(m, r)).alias(f"a{n}"), F.count_if(like).alias(f"b{n}")]
+    counts = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(*counted)
+    every = signals.select(*by).distinct().join(counts, list(by), "left").fillna(0, [c for n in range(len(grid)) for c in (f"a{n}", f"b{n}")])
+    rows = [F.struct(F.lit(m).alias("m"), F.lit(float(r)).alias("r"), F.col(f"a{n}").alias("n_a"), F.col(f"b{n}").alias("n_b")) for n, (m, r) in enumerate(grid)]
+    return every.select(*by, F.inline(F.array(*rows)))
 
 
-def sample_entropy(signals: DataFrame, m: int, r: float, by: tuple[str, ...] = ("signal_id",)) -> DataFrame:
-    """(by, sampen): -ln(n_a / n_b), NaN without a match of length m + 1."""
+def grid_entropy(signals: DataFrame, grid: list[tuple[int, float]], by: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+    """(by, m, r, sampen): -ln(n_a / n_b), NaN without a match of length m + 1."""
     value = F.when(F.col("n_a") > 0, -F.ln(F.col("n_a") / F.col("n_b")) + F.lit(0.0)).otherwise(F.lit(float("nan")))
-    return match_counts(signals, m, r, by).select(*by, value.alias("sampen"))
+    return grid_counts(signals, grid, by).select(*by, "m", "r", value.alias("sampen"))
 
 
-def sampen_array(x: np.ndarray, m: int, r: float) -> float:
-    """Sample entropy of one array, lag by lag; for resampled signals."""
-    n_a = n_b = 0
-    n = len(x) - m
+def match_counts(signals: DataFrame, m: int, r: float, by: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+    """(by, n_a, n_b) at one m and r."""
+    return grid_counts(signals, [(m, r)], by).drop("m", "r")
+
+
+def sample_entropy(signals: DataFrame, m: int, r: float, by: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+    """(by, sampen) at one m and r."""
+    return grid_entropy(signals, [(m, r)], by).drop("m", "r")
+
+
+def sampen_rows(x: np.ndarray, m: int, r: float) -> np.ndarray:
+    """Sample entropy of each row of a table, lag by lag; for resampled signals."""
+    n_a, n_b = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    n = x.shape[1] - m
     for lag in range(1, max(n, 1)):
-        near = np.abs(x[lag:] - x[:-lag]) < r
-        run = near[: n - lag].copy()
+        near = np.abs(x[:, lag:] - x[:, :-lag]) < r
+        run = near[:, : n - lag].copy()
         for k in range(1, m):
-            run &= near[k : n - lag + k]
-        n_b += int(run.sum())
-        n_a += int((run & near[m : n - lag + m]).sum())
-    return float(-np.log(n_a / n_b) + 0.0) if n_a else float("nan")
+            run &= near[:, k : n - lag + k]
+        n_b += run.sum(1)
+        n_a += (run & near[:, m : n - lag + m]).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n_a > 0, -np.log(n_a / n_b) + 0.0, np.nan)
+
+
+def sampen_array(x: np.ndarray, m: int, r: float) -> float:
+    """Sample entropy of one array."""
+    return float(sampen_rows(np.asarray(x, float)[None], m, r)[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,9 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _row_sums(matrix: DataFrame, name: str) -> DataFrame:
-    """Sums of the rows of each signal's matrix."""
-    return _shown(matrix.groupBy(F.col("group").alias("signal_id"), "i").agg(F.sum(name).alias("total")), "total")
+    """Sums of the rows of each signal's matrix, plain and weighted by the place in the row."""
+    weighted = F.sum(F.col(name) * (F.col("j") + 1)).alias("placed")
+    return _shown(matrix.groupBy(F.col("group").alias("signal_id"), "i").agg(F.sum(name).alias("total"), weighted), "total", "placed")
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,26 +56,21 @@ def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(gaussian.squared_distances(rows, means).select("i", "d2"), "d2")
 
 
-def _grid(spark: SparkSession, sf_dir: str, one: Callable[[DataFrame, int, float], DataFrame]) -> DataFrame:
-    signals, out = _signals(spark, sf_dir), None
-    for m, r in GRID:
-        each = one(signals, m, r).withColumn("m", F.lit(m)).withColumn("r", F.lit(r))
-        out = each if out is None else out.unionByName(each)
-    return out
-
-
-def _mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = lambda s, m, r: bootstrap.mean_squared_error(s, m, r, P, REPS, SEED).agg((F.avg("mse") + F.lit(0.33 * r**0.5)).alias("value"))
-    return _grid(spark, sf_dir, value)
-
+def _objective(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The objective of that name over GRID, as the search class has it."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        search = api.SampleEntropy(_signals(spark, sf_dir), objective=name, n_boot=REPS, random_seed=SEED)
+    return _shown(search.evaluate_grid(GRID, P), "value")
 
-def _efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def value(s: DataFrame, m: int, r: float) -> DataFrame:
-        each = entropy.sample_entropy(s, m, r).join(bootstrap.standard_error(s, m, r, P, REPS, SEED), "signal_id")
-        worse = F.when((F.col("sampen") == 0) | F.isnan("sampen"), F.col("se_sampen")).otherwise(F.greatest("se_sampen", F.try_divide("se_sampen", "sampen")))
-        return each.withColumn("worse", worse).agg(efficiency.nan_median("worse").alias("value"))
 
-    return _grid(spark, sf_dir, value)
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objective over GRID by the grouped form of the search."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        search = api.SampleEntropy(_signals(spark, sf_dir), n_boot=REPS, random_seed=SEED)
+    grid = F.get(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(r).alias("r")) for m, r in GRID]), F.col("trial"))
+    return _shown(search.evaluate([(m, r, P) for m, r in GRID]).select("value", grid.m.alias("m"), grid.r.alias("r")), "value")
 
 
 def _uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,21 +79,22 @@ def _uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.StationarySignals(_signals(spark, sf_dir), method="difference").make_stationary_signals()
+    return api.StationarySignals(_signals(spark, sf_dir)).make_stationary_signals()
 
 
 def _optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        found = api.SampleEntropy(_signals(spark, sf_dir), m_range=(1, 2), r_range=(5.0, 30.0), n_boot=2, n_trials=2, random_seed=SEED)
+    found = api.SampleEntropy(_signals(spark, sf_dir), m_range=(1, 2), r_range=(5.0, 30.0), n_boot=50, n_trials=20, batch=5, random_seed=SEED)
     found.find_optimal_sampen_params()
-    return found.get_optimization_results()
+    return found.get_optimization_results(("number", "value", "params", "state"))
 
 
 def _cp_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, sf_dir, lambda s, m, r: entropy.match_counts(s, m, r).select("signal_id", F.expr("CASE WHEN n_b > 0 THEN n_a / n_b END").alias("cp")))
+    """Conditional probabilities by the efficiency criterion's kernel."""
+    signals, out = _signals(spark, sf_dir), None
+    for m in sorted({m for m, _ in GRID}):
+        each = efficiency.cp_table(signals, m, [r for k, r in GRID if k == m]).select("signal_id", "cp", F.lit(m).alias("m"), "r")
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -117,19 +115,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_series": lambda s, d: bootstrap.resample(_signals(s, d), P, REPS, SEED),
     "sampen_se": lambda s, d: _shown(bootstrap.standard_error(_signals(s, d), M, R, P, REPS, SEED), "se_sampen"),
     "bootstrap_mse": lambda s, d: _shown(bootstrap.mean_squared_error(_signals(s, d), M, R, P, REPS, SEED), "mse"),
-    "mse_objective_grid": lambda s, d: _shown(_mse(s, d), "value"),
-    "eff_objective_grid": lambda s, d: _shown(_efficiency(s, d), "value"),
-    "best_params_grid": lambda s, d: _shown(_mse(s, d).where(~F.isnan("value")).agg(F.min_by(F.struct("m", "r"), F.struct("value", "m", "r")).alias("best"), F.min("value").alias("value")).select("best.m", "best.r", "value"), "value"),
-    "sqdist_xx": lambda s, d: _distances(s, d).groupBy(F.col("group").alias("signal_id"), "i").agg((F.round(F.sum("d2"), 3) + F.lit(0.0)).alias("total")),
+    "mse_objective_grid": lambda s, d: _objective(s, d, "mse"),
+    "eff_objective_grid": lambda s, d: _objective(s, d, "sampen_eff"),
+    "mse_objective_trials": _trials,
+    "best_params_grid": lambda s, d: _shown(_objective(s, d, "mse").where("value IS NOT NULL").agg(F.min_by(F.struct("m", "r"), F.struct("value", "m", "r")).alias("best"), F.min("value").alias("value")).select("best.m", "best.r", "value"), "value"),
+    "sqdist_xx": lambda s, d: _distances(s, d).groupBy(F.col("group").alias("signal_id"), "i").agg((F.round(F.sum("d2"), 3) + F.lit(0.0)).alias("total"), (F.round(F.sum(F.col("d2") * (F.col("j") + 1)), 3) + F.lit(0.0)).alias("placed")),
     "sqdist_xy": _centres,
     "rbf_kernel": lambda s, d: _row_sums(gaussian.rbf(_distances(s, d), 2.0), "k"),
     "jitter_kernel": lambda s, d: _row_sums(gaussian.jitter(gaussian.rbf(_distances(s, d), 2.0), 0.1), "k"),
     "time_series_split": lambda s, d: gaussian.folds(_signals(s, d), 5),
     "gp_detrend": lambda s, d: gaussian.detrend_gp(_signals(s, d)),
-    "gp_detrend_per_signal": lambda s, d: gaussian.detrend_gp(_signals(s, d), eps=1e-10 * 10, shared=False),
+    "gp_detrend_per_signal": lambda s, d: gaussian.detrend_gp(_signals(s, d), eps=1e-10, shared=False),
     "cp_grid": lambda s, d: _shown(_cp_grid(s, d), "cp"),
     "cp_sd": lambda s, d: efficiency.criterion(efficiency.cp_table(_signals(s, d), M, [9.9951, 25.0051])),
-    "r_star": lambda s, d: api.SampEnEfficiency(_signals(s, d), 1, (10.0051, 40.0051), 10.0, 2.0).compute_all_sampen(),
+    "r_star": lambda s, d: api.SampEnEfficiency(_signals(s, d), 1, (10.0051, 40.0051), r_step_size=10.0, interpolation_step_size=2.0).compute_all_sampen(),
     "find_optimal": _optimal,
 }
 
@@ -187,7 +186,7 @@ def _eff_sql(m: int, r: float) -> str:
 
 _MSE = " UNION ALL ".join(f"SELECT * FROM {_mse_sql(m, r)} g{i}" for i, (m, r) in enumerate(GRID))
 _D2 = f"{_SIGNALS}, pts AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY timestamp, value) - 1 AS i, value * CAST(0.010317 AS DOUBLE) AS v FROM signals), d AS (SELECT a.signal_id, a.i, b.i AS j, (a.v - b.v) * (a.v - b.v) + CAST((a.i - b.i) * (a.i - b.i) AS DOUBLE) AS d2 FROM pts a JOIN pts b ON a.signal_id = b.signal_id)"
-_SUMS = "SELECT signal_id, CAST(i AS BIGINT) AS i, round(sum({}), 6) + 0.0 AS total FROM d GROUP BY signal_id, i"
+_SUMS = "SELECT signal_id, CAST(i AS BIGINT) AS i, round(sum({0}), 6) + 0.0 AS total, round(sum(({0}) * (j + 1)), 6) + 0.0 AS placed FROM d GROUP BY signal_id, i"
 
 ORACLE_SQL: dict[str, str] = {
     "sampen": f"WITH {_SIGNALS} SELECT signal_id, round({_ENTROPY}, 6) AS sampen FROM {_counts_sql('signals', M, R)} c",
@@ -213,5 +212,6 @@ ORACLE_SQL: dict[str, str] = {
     "rbf_kernel": f"WITH {_D2} " + _SUMS.format("exp(-d2 / 8.0)"),
     "jitter_kernel": f"WITH {_D2} " + _SUMS.format("exp(-d2 / 8.0) + CASE WHEN i = j THEN 0.1 ELSE 0 END"),
     "time_series_split": f"WITH {_SIGNALS}, g AS (SELECT signal_id, count(*) AS n, CAST(floor(count(*) / 6.0) AS BIGINT) AS step FROM signals GROUP BY signal_id), f AS (SELECT signal_id, n, step, unnest(range(0, 5)) AS fold FROM g) SELECT signal_id, CAST(fold AS INTEGER) AS fold, CAST(n - (5 - fold) * step AS BIGINT) AS train_end, CAST(n - (4 - fold) * step AS BIGINT) AS test_end FROM f",
+    "mse_objective_trials": f"SELECT round(value, 6) + 0.0 AS value, m, r FROM ({_MSE}) q",
     "cp_grid": " UNION ALL ".join(f"SELECT signal_id, CASE WHEN n_b > 0 THEN round(CAST(n_a AS DOUBLE) / n_b, 6) END AS cp, {m} AS m, CAST({r} AS DOUBLE) AS r FROM (WITH {_SIGNALS} SELECT * FROM {_counts_sql('signals', m, r)} c) q{i}" for i, (m, r) in enumerate(GRID)),
 }

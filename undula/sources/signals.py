@@ -57,3 +57,13 @@ def lengths(signals: DataFrame) -> DataFrame:
 def shortest(signals: DataFrame) -> int:
     """Points of the shortest signal."""
     return lengths(signals).agg(F.min("n")).first()[0]
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by keys to as many tasks as the session has for a shuffle.
+
+    For grouped kernels: they take long over few bytes, which Spark would otherwise put into few tasks.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
