@@ -384,3 +384,67 @@ def test_language_model_scores_equal_one_plain_loop():
                 k = i // language_model.SIZE
                 total += np.log10(softmax(p["wo"][k] @ state + p["bo"][k])[i % language_model.SIZE])
         assert value == pytest.approx(total, rel=1e-4)
+
+
+def plain_base(text):
+    """Base spans by Python's own patterns."""
+    import re
+
+    def luhn(digits):
+        twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+
+    digits = lambda x: [c for c in x if c in "0123456789"]
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    ]
+    out = [(m.start(), n, k, m.end()) for n, (k, p, good) in enumerate(kinds) for m in re.finditer(p, text) if good(m.group())]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    rng = random.Random(12)
+    bits = ["a", "é", "@", ".", "-", " ", "+1", "4111 1111 1111 1111", "10.0.0.1", "256.1.1.1", "1", "22", "x.y@z.org", "(555)", "0742", "4242-4242-4242-4242", "\U0001f600"]
+    texts = {i: "".join(rng.choices(bits, k=rng.randint(0, 30))) for i in range(400)}
+    got = personal.find_personal(table(spark, texts.items())).select("doc_id", personal.spans_text("base").alias("base"), personal.spans_text("spans").alias("spans")).collect()
+    for r in got:
+        assert r.base == plain_base(texts[r.doc_id])
+        assert set(filter(None, r.base.split(","))) <= set(r.spans.split(","))
+
+
+def test_sketches_estimate_containment_and_merge(spark):
+    rng = random.Random(13)
+    long = rng.choices(_WORDS, k=6000)
+    pairs = [(" ".join(long[:n]), " ".join(long)) for n in (600, 3000)] + [("", ""), ("", "a b"), ("a b", "a b"), (None, " ")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    f = df.select("i", fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"), fingerprints.sketch(F.concat_ws(" ", "a", "b")).alias("both"))
+    rows = f.select("*", fingerprints.containment(F.col("x"), F.col("y")).alias("c"), fingerprints.jaccard(F.col("x"), F.col("y")).alias("j"), fingerprints.merge(F.col("x"), F.col("y")).alias("m")).orderBy("i").collect()
+    for r, (a, b) in zip(rows, pairs):
+        sets = [shingle_set(a or ""), shingle_set(b or "")]
+        if sets[0] and sets[1]:
+            assert r.c == pytest.approx(len(sets[0] & sets[1]) / len(sets[0]), abs=0.02)
+            assert r.j == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]), abs=0.08)
+        if r.i < 2:  # the sketch keeps its share of all hashes, and merges to that of both texts
+            assert len(r.x) == pytest.approx(len(sets[0]) / fingerprints.SCALE, rel=0.35)
+            assert set(r.m) == set(r.x) | set(r.y) and len(set(r.both) - set(r.m)) <= 2
+    assert [r.c for r in rows[2:]] == [1, 0, 1, 1]
+
+
+def test_code_words_are_decoded_by_least_weighted_loss():
+    rng = random.Random(14)
+    kinds = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[2 * k : 2 * k + 9], k=6)) for _ in range(30)] for k in range(9)}  # more than seven: random codes
+    texts, langs = zip(*[(" ".join(rng.choices(kinds[k], k=12)), k) for k in kinds for _ in range(40)])
+    model = language.Classifier(list(texts), list(langs))
+    asked = text_array(pa.array([" ".join(rng.choices(kinds[k], k=12)) for k in kinds for _ in range(5)]))
+    best, score, _ = model.predict(asked)
+    rows = np.concatenate(list(language.features(asked)))
+    for x, b, s in zip(rows, best, score):
+        margin = np.clip(x @ model.weights + model.bias, -8, 8)
+        loss = [sum(t * math.log1p(math.exp(-c * m)) for c, m, t in zip(code, margin, trust)) for code, trust in zip(model.code, model.trust)]
+        assert b == int(np.argmin(loss)) and 0 <= s <= 1
+    assert np.mean([model.langs[b] == k for b, k in zip(best, [k for k in kinds for _ in range(5)])]) > 0.9
+    code = model.code
+    assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 4
