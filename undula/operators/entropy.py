@@ -71,8 +71,8 @@ def sampen_rows(x: np.ndarray, m: int, r: float) -> np.ndarray:
         run = near[:, : n - lag].copy()
         for k in range(1, m):
             run &= near[:, k : n - lag + k]
-        n_b += run.sum(1)
-        n_a += (run & near[:, m : n - lag + m]).sum(1)
+        n_b += np.count_nonzero(run, axis=1)
+        n_a += np.count_nonzero(run & near[:, m : n - lag + m], axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(n_a > 0, -np.log(n_a / n_b) + 0.0, np.nan)
 
