@@ -105,4 +105,5 @@ def trial_replicates(signals: DataFrame, trials: list[tuple[int, int, float, flo
         return pd.concat(out)
 
     kind = signals.schema["signal_id"].dataType.simpleString()
-    return dealt(points, "signal_id", "block").groupBy("signal_id", "block").applyInPandas(one, f"signal_id {kind}, trial int, rep int, sampen double")
+    made = dealt(points, "signal_id", "block").groupBy("signal_id", "block").applyInPandas(one, f"signal_id {kind}, trial int, rep int, sampen double")
+    return made.withColumn("sampen", F.coalesce("sampen", F.lit(float("nan"))))  # pandas' NaN comes back as null

@@ -81,7 +81,9 @@ def cp_table(signals: DataFrame, m: int, rs: list[float]) -> DataFrame:
 
     grid = signals.select("signal_id", "timestamp", "value", F.explode(F.array(*[F.lit(float(r)) for r in rs])).alias("r"))
     kind = signals.schema["signal_id"].dataType.simpleString()
-    return dealt(grid, "signal_id", "r").groupBy("signal_id", "r").applyInPandas(one, f"signal_id {kind}, r double, cp double, sd double")
+    made = dealt(grid, "signal_id", "r").groupBy("signal_id", "r").applyInPandas(one, f"signal_id {kind}, r double, cp double, sd double")
+    nan = F.lit(float("nan"))  # pandas' NaN comes back as null
+    return made.withColumns({"cp": F.coalesce("cp", nan), "sd": F.coalesce("sd", nan)})
 
 
 def criterion(table: DataFrame) -> DataFrame:
