@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from undula.operators import bootstrap, efficiency, entropy, gaussian, transforms, unit_root
-from undula.plans import api
+from undula.plans import api, numeric_sql
 from undula.sources import signals as source
 
 
@@ -265,3 +267,30 @@ def test_efficiency_by_bootstrap(spark):
     one = bootstrap.standard_error(df, 1, best.rs[0], 0.5, 20, 0).where("signal_id = '1'").first().se_sampen
     assert table["1", best.rs[0]] == pytest.approx(max(one, one / brute(x[1], 1, best.rs[0])))
     assert len(best.compute_all_sampen().collect()) == 3 and best.r_star_ in best.points
+
+
+def test_an_undefined_replicate_makes_the_error_undefined(spark):
+    rng = np.random.default_rng(3)
+    df = frame(spark, [(k, float(i), float(v)) for k, n in (("a", 12), ("b", 60)) for i, v in enumerate(rng.normal(size=n))])
+    plain = {r.signal_id: r.se_sampen for r in bootstrap.standard_error(df, 2, 0.3, 0.5, 30, 1).collect()}
+    with pytest.warns(api.SampEnSettingWarning):
+        fixed = api.SampleEntropy(df, m=2, r=0.3, p=0.5, n_boot=30, random_seed=1, m_range=(1, 3))
+    got = {r.signal_id: r.se_sampen for r in fixed.compute_all_sampen(estimate_uncertainty=True).collect()}
+    assert math.isnan(plain["a"]) and math.isnan(got["a"])
+    assert got == pytest.approx(plain, nan_ok=True)
+    assert math.isnan(fixed.evaluate([(2, 0.3, 0.5)]).first().value)
+    flat = efficiency.cp_table(frame(spark, [("c", float(i), 3.0 * i * i) for i in range(20)]), 1, [0.5]).first()
+    assert math.isnan(flat.cp) and math.isnan(flat.sd)
+
+
+def test_gaussian_process_equals_sql_at_its_defaults(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(i), float(v)) for k, n in (("a", 20), ("b", 45), ("c", 13)) for i, v in enumerate(0.1 * np.arange(n) + rng.normal(size=n))]
+    signals = pd.DataFrame(rows, columns=["signal_id", "timestamp", "value"])
+    scales = numeric_sql.shared_scales(0, 10.0, 100.0, 10)
+    sql = f"WITH RECURSIVE {numeric_sql.detrended(scales, 5, 1e-6)} SELECT signal_id, timestamp, value FROM detrended"
+    with duckdb.connect() as connection:
+        connection.register("signals", signals)
+        want = {(k, t): v for k, t, v in connection.execute(sql).fetchall()}
+    got = {(r.signal_id, r.timestamp): r.value for r in gaussian.detrend_gp(frame(spark, rows)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)

@@ -5,18 +5,24 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.functions.draws import geometric, uniform
 from undula.operators import bootstrap, efficiency, entropy, gaussian, transforms, unit_root
-from undula.plans import api
+from undula.plans import api, numeric_sql
 from undula.session import ship_package
 from undula.sources import signals as source
 
 #: Off the values' lattice of 0.01, so that no distance ties with it.
 M, R, P, REPS, SEED = 2, 9.9951, 0.3, 4, 17
 GRID = [(1, 9.9951), (2, 9.9951), (2, 25.0051)]
+TOLERANCES = [9.9951, 25.0051]
+#: Large enough that the last bits of a kernel's cells don't reach the digits which are compared.
+JITTER = 1e-3
+#: Range, step and interpolation step of the best tolerance's search.
+SEARCH = ((10.0051, 40.0051), 10.0, 2.0)
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +85,20 @@ def _uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.StationarySignals(_signals(spark, sf_dir)).make_stationary_signals()
+    return _shown(api.StationarySignals(_signals(spark, sf_dir)).make_stationary_signals(), "timestamp", "value")
+
+
+def _with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropies with their errors, as the class has them at fixed parameters."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        fixed = api.SampleEntropy(_signals(spark, sf_dir), m=M, r=R, p=P, n_boot=REPS, random_seed=SEED)
+    return _shown(fixed.compute_all_sampen(estimate_uncertainty=True), "sampen", "se_sampen")
+
+
+def _efficiency(spark: SparkSession, sf_dir: str, objective: str, m: int) -> api.SampEnEfficiency:
+    limits, step, fine = SEARCH
+    return api.SampEnEfficiency(_signals(spark, sf_dir), m, limits, r_step_size=step, interpolation_step_size=fine, objective=objective, p=P, n_boot=REPS, random_seed=SEED)
 
 
 def _optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_reindex": lambda s, d: _shown(transforms.reindex(_signals(s, d)), "value"),
     "df_tstat_lag0": lambda s, d: _shown(unit_root.dickey_fuller(_signals(s, d)), "tstat"),
     "holm_sidak": lambda s, d: unit_root.holm_sidak(source.lengths(_signals(s, d)).select("signal_id", F.pow(uniform(F.lit("p"), F.col("signal_id").cast("string")), 8.0).alias("pvalue"))).select("signal_id", "reject"),
-    "adf_pvalue": lambda s, d: unit_root.pvalues(_signals(s, d)),
+    "adf_pvalue": lambda s, d: _shown(unit_root.pvalues(_signals(s, d)), "pvalue"),
     "stationary_signals": _stationary,
     "geom_from_uniform": lambda s, d: _uniforms(s, d).select("event_id", geometric(F.col("u"), P).alias("steps")),
     "bootstrap_index": lambda s, d: bootstrap.indices(_signals(s, d), P, REPS, SEED),
@@ -125,10 +144,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jitter_kernel": lambda s, d: _row_sums(gaussian.jitter(gaussian.rbf(_distances(s, d), 2.0), 0.1), "k"),
     "time_series_split": lambda s, d: gaussian.folds(_signals(s, d), 5),
     "gp_detrend": lambda s, d: gaussian.detrend_gp(_signals(s, d)),
+    "gp_detrend_jitter": lambda s, d: gaussian.detrend_gp(_signals(s, d), eps=JITTER, seed=SEED).withColumn("value", F.round("value", 4) + F.lit(0.0)),
     "gp_detrend_per_signal": lambda s, d: gaussian.detrend_gp(_signals(s, d), eps=1e-10, shared=False),
     "cp_grid": lambda s, d: _shown(_cp_grid(s, d), "cp"),
-    "cp_sd": lambda s, d: efficiency.criterion(efficiency.cp_table(_signals(s, d), M, [9.9951, 25.0051])),
-    "r_star": lambda s, d: api.SampEnEfficiency(_signals(s, d), 1, (10.0051, 40.0051), r_step_size=10.0, interpolation_step_size=2.0).compute_all_sampen(),
+    "cp_sd": lambda s, d: _shown(efficiency.criterion(efficiency.cp_table(_signals(s, d), M, TOLERANCES)), "cp", "sd", "objective"),
+    "r_star": lambda s, d: _shown(_efficiency(s, d, "counting", 1).compute_all_sampen(), "sampen", "se_sampen"),
+    "eff_bootstrap": lambda s, d: _shown(_efficiency(s, d, "bootstrap", M).table(), "objective"),
+    "sampen_with_errors": _with_errors,
     "find_optimal": _optimal,
 }
 
@@ -184,10 +206,19 @@ def _eff_sql(m: int, r: float) -> str:
     return f"(WITH {_boot_sql(m, r)}, each AS ({each}) SELECT CASE WHEN count(*) = count({worse}) THEN median({worse}) END AS value, {m} AS m, CAST({r} AS DOUBLE) AS r FROM each)"
 
 
+def _relative_sql(r: float) -> str:
+    """SQL of each signal's relative error by replicates, parenthesised."""
+    each = "SELECT b.signal_id, max(o.s) AS s, CASE WHEN count(*) = count(b.s) THEN stddev_pop(b.s) END AS se FROM boot b JOIN own o ON b.signal_id = o.signal_id GROUP BY b.signal_id"
+    return f"(WITH {_boot_sql(M, r)} SELECT signal_id, CASE WHEN s IS NULL OR s = 0 THEN se WHEN se IS NOT NULL THEN greatest(se, se / s) END AS objective, CAST({r!r} AS DOUBLE) AS r FROM ({each}) q)"
+
+
 _MSE = " UNION ALL ".join(f"SELECT * FROM {_mse_sql(m, r)} g{i}" for i, (m, r) in enumerate(GRID))
 _D2 = f"{_SIGNALS}, pts AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY timestamp, value) - 1 AS i, value * CAST(0.010317 AS DOUBLE) AS v FROM signals), d AS (SELECT a.signal_id, a.i, b.i AS j, (a.v - b.v) * (a.v - b.v) + CAST((a.i - b.i) * (a.i - b.i) AS DOUBLE) AS d2 FROM pts a JOIN pts b ON a.signal_id = b.signal_id)"
 _SUMS = "SELECT signal_id, CAST(i AS BIGINT) AS i, round(sum({0}), 6) + 0.0 AS total, round(sum(({0}) * (j + 1)), 6) + 0.0 AS placed FROM d GROUP BY signal_id, i"
 
+_RS = [float(x) for x in np.arange(SEARCH[0][0], SEARCH[0][1] + SEARCH[2], SEARCH[1])]
+_BETWEEN = [float(x) for x in np.arange(SEARCH[0][0], SEARCH[0][1] + SEARCH[2], SEARCH[2])]
+
 ORACLE_SQL: dict[str, str] = {
     "sampen": f"WITH {_SIGNALS} SELECT signal_id, round({_ENTROPY}, 6) AS sampen FROM {_counts_sql('signals', M, R)} c",
     "sampen_counts": f"WITH {_SIGNALS} SELECT signal_id, n_a, n_b FROM {_counts_sql('signals', M, R)} c",
@@ -214,4 +245,11 @@ ORACLE_SQL: dict[str, str] = {
     "time_series_split": f"WITH {_SIGNALS}, g AS (SELECT signal_id, count(*) AS n, CAST(floor(count(*) / 6.0) AS BIGINT) AS step FROM signals GROUP BY signal_id), f AS (SELECT signal_id, n, step, unnest(range(0, 5)) AS fold FROM g) SELECT signal_id, CAST(fold AS INTEGER) AS fold, CAST(n - (5 - fold) * step AS BIGINT) AS train_end, CAST(n - (4 - fold) * step AS BIGINT) AS test_end FROM f",
     "mse_objective_trials": f"SELECT round(value, 6) + 0.0 AS value, m, r FROM ({_MSE}) q",
     "cp_grid": " UNION ALL ".join(f"SELECT signal_id, CASE WHEN n_b > 0 THEN round(CAST(n_a AS DOUBLE) / n_b, 6) END AS cp, {m} AS m, CAST({r} AS DOUBLE) AS r FROM (WITH {_SIGNALS} SELECT * FROM {_counts_sql('signals', m, r)} c) q{i}" for i, (m, r) in enumerate(GRID)),
+    "adf_pvalue": f"WITH RECURSIVE {_SIGNALS}, {numeric_sql.adf('signals')} SELECT signal_id, round(pvalue, 6) + 0.0 AS pvalue FROM adf",
+    "stationary_signals": f"WITH RECURSIVE {_SIGNALS}, {numeric_sql.stationary()} SELECT signal_id, round(timestamp, 6) AS timestamp, round(value, 6) + 0.0 AS value FROM stationary",
+    "gp_detrend_jitter": f"WITH RECURSIVE {_SIGNALS}, {numeric_sql.detrended(numeric_sql.shared_scales(SEED, 10.0, 100.0, 10), 5, JITTER)} SELECT signal_id, timestamp, round(value, 4) + 0.0 AS value FROM detrended",
+    "cp_sd": f"WITH {_SIGNALS}, {numeric_sql.criterion(M, numeric_sql.values(TOLERANCES))} SELECT signal_id, r, round(cp, 6) + 0.0 AS cp, round(sd, 6) + 0.0 AS sd, round(objective, 6) + 0.0 AS objective FROM cp",
+    "r_star": f"WITH {_SIGNALS}, {numeric_sql.best_tolerance(_RS, _BETWEEN, 1)} SELECT signal_id, CASE WHEN cp > 0 THEN round(-ln(cp) + 0.0, 6) END AS sampen, CASE WHEN cp > 0 THEN round(sd / cp, 6) + 0.0 END AS se_sampen FROM star",
+    "eff_bootstrap": " UNION ALL ".join(f"SELECT signal_id, r, round(objective, 6) + 0.0 AS objective FROM {_relative_sql(r)} g{i}" for i, r in enumerate(_RS)),
+    "sampen_with_errors": f"WITH {_boot_sql(M, R)} SELECT b.signal_id, round(max(o.s), 6) + 0.0 AS sampen, CASE WHEN count(*) = count(b.s) THEN round(stddev_pop(b.s), 6) + 0.0 END AS se_sampen FROM boot b JOIN own o ON b.signal_id = o.signal_id GROUP BY b.signal_id",
 }
