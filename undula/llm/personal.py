@@ -31,9 +31,10 @@ BASE = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-#: Generators: kind, what a text must hold, pattern.
+#: Generators: kind, what a text must hold, pattern.  A pattern's matches don't overlap, those of different ones may.
 GENERATORS = (
-    ("email", r"(?i)[(\[{\x20]\s?at\s?[)\]}\x20]|\x20@|@\x20", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[{]\x20?at\x20?[)\]}]|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"),
+    ("email", r"(?i)[(\[{]\s?at\s?[)\]}]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[{]\x20?at\x20?[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"),
+    ("email", r"(?i)\x20at\x20|\x20@|@\x20", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"),
     ("ip", r"[0-9]\x20?[(\[{]\x20?(?:\.|dot)", r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:[(\[{]\x20?(?:\.|dot)\x20?[)\]}]|\.)\x20?[0-9]{1,3}){3}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./-]?[0-9]{4}){2}[\x20./-]?[0-9]{1,7}(?![0-9A-Za-z])"),
     ("card", r"[0-9]{12}", r"(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"),
