@@ -259,9 +259,10 @@ def linked_components(texts: DataFrame, rows: DataFrame, similarity: float, smal
         roots = components(found, tables)
         state = tables.write(_rooted(state.withColumn("led", F.expr("led or leads")).drop("root", "leads"), roots), "state")
         main = tables.write(state.where("content = head").select("key", F.col("root").alias("main")), "main")
-        waiting = state.join(main, "key").where("not led and root != main").select("key", "content", F.row_number().over(turn).alias("turn"), F.sum("size").over(upto).alias("upto"))
-        block = (F.col("turn") == 1) | (F.col("turn") <= small) & (F.col("upto") <= room)
-        following = tables.write(waiting.where(block).select("key", "content", F.lit(True).alias("next")), "following")
+        # a rank with a limit alone is cut in each task before the shuffle, so no task has all that wait in a bucket
+        waiting = state.join(main, "key").where("not led and root != main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= small)
+        block = waiting.withColumn("upto", F.sum("size").over(upto)).where((F.col("turn") == 1) | (F.col("upto") <= room))
+        following = tables.write(block.select("key", "content", F.lit(True).alias("next")), "following")
         if following.isEmpty():
             tables.keep("least")
             return roots
