@@ -162,6 +162,25 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark)).count() == 0 and licenses.scan_licenses(none(spark)).count() == 0
 
 
+def test_licenses_of_shared_wording(spark):
+    gnu = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
+    eclipse = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {} which is available here"
+    texts = {
+        "GPL-2.0": gnu.format(";", "", ";", "2"),
+        "GPL-3.0": gnu.format(":", "", ",", "3"),
+        "LGPL-2.1": gnu.format(";", "Lesser ", ";", "2.1"),
+        "LGPL-3.0": gnu.format(":", "Lesser ", ",", "3"),
+        "AGPL-3.0": gnu.format(":", "Affero ", ",", "3"),
+        "EPL-1.0": eclipse.format("v1.0"),
+        "EPL-2.0": eclipse.format("2.0"),
+    }
+    names = dict(enumerate(texts))
+    got = sorted((names[r.doc_id], r.license) for r in licenses.scan_licenses(table(spark, enumerate(texts.values()))).collect())
+    assert got == sorted((n, n) for n in texts)
+    other = licenses.scan_licenses(table(spark, [(1, "This work is licensed under the GNU General Public License, version 2."), (2, "This work is licensed under the GNU Lesser General Public License, version 3.")]))
+    assert other.count() == 0
+
+
 @pytest.mark.parametrize("leaf", [1, 5, bpe.LEAF])
 def test_bpe_tree_equals_encoding_in_one_go(spark, leaf):
     coder = bpe.Coder(bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), leaf)
