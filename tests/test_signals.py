@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import duckdb
@@ -6,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from undula.functions import draws
 from undula.operators import bootstrap, efficiency, entropy, gaussian, transforms, unit_root
 from undula.plans import api, numeric_sql
 from undula.sources import signals as source
@@ -294,3 +296,43 @@ def test_gaussian_process_equals_sql_at_its_defaults(spark):
         want = {(k, t): v for k, t, v in connection.execute(sql).fetchall()}
     got = {(r.signal_id, r.timestamp): r.value for r in gaussian.detrend_gp(frame(spark, rows)).collect()}
     assert got == pytest.approx(want, abs=1e-5)
+
+
+def steps(df):
+    """What runs: passes through Python, and joins."""
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return len([x for x in text.splitlines() if "InArrow" in x or "InPandas" in x]), text.count("Join")
+
+
+def varied(spark):
+    """Signals of several lengths, some equal, some with ties, one constant and one too short, with ids of several lengths."""
+    rng = np.random.default_rng(11)
+    xs = {"a": rng.normal(size=40), "bb": rng.normal(size=40).round(1), "ccc": rng.normal(size=33), "d": np.full(30, 2.0), "e": [1.0, 2.0, 1.0], "x" * 60: rng.normal(size=33)}
+    return frame(spark, [(k, float(i), float(v)) for k, x in xs.items() for i, v in enumerate(x)])
+
+
+def test_a_search_makes_each_replicate_once(spark):
+    df = varied(spark).where("signal_id != 'e'")
+    search = api.SampleEntropy(df, n_boot=50, n_trials=12, random_seed=4, r_range=(0.2, 1.0))
+    points = [(1, 0.4, 0.3), (2, 0.7, 0.3), (2, 0.9, 0.6)]
+    assert steps(search.evaluate(points)) == (1, 0)
+    got = {(x.signal_id, x.trial): (x.sampen, x.se_sampen, x.mse) for x in bootstrap.trial_spread(source.packed(varied(spark)), [(i, *x) for i, x in enumerate(points)], 50, 4).collect()}
+    assert len(got) == 18
+    for p, some in ((0.3, [0, 1]), (0.6, [2])):
+        grid = [points[i][:2] for i in some]
+        plain = bootstrap.spread(bootstrap.grid_replicates(varied(spark), grid, p, 50, 4), entropy.grid_entropy(varied(spark), grid), ("m", "r")).collect()
+        for x in plain:
+            assert got[x.signal_id, some[grid.index((x.m, x.r))]] == pytest.approx((x.sampen, x.se_sampen, x.mse), nan_ok=True)
+
+
+def test_ranks_and_grouped_draws_equal_plain_ones():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 255, 256, 700):
+        x = np.column_stack([rng.normal(size=n), rng.integers(0, 9, n) * 0.1, np.full(n, 1.0)])
+        x[0, 0] = np.nan
+        ranked = entropy.Ranked(x)
+        for m, r in ((1, 0.1), (2, 0.3), (3, 0.1 + 0.2)):
+            assert entropy.ranked_sampen(ranked.rank, *ranked.near(r), m) == pytest.approx(entropy.sampen_rows(x.T, m, r), nan_ok=True, rel=1e-15)
+    for names, reps, n in (([b"17:1", b"17:2"], range(8, 12), 103), ([b"0:" + b"a" * 45], range(2), 11), ([b"0:" + b"a" * 60] * 2, range(2), 3)):
+        want = [[[[int(hashlib.md5(b"%s:%d:%d:%d" % (a, rep, k, which)).hexdigest()[:8], 16) / 2**32 for rep in reps] for a in names] for k in range(n)] for which in (1, 2)]
+        assert (draws.many(names, reps, n) == np.array(want)).all()

@@ -8,20 +8,20 @@ signals.  Both make the same replicates.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.functions.draws import uniform
-from undula.operators.entropy import grid_entropy, sampen_rows
+from undula.functions.draws import many, uniform
+from undula.operators.entropy import Ranked, grid_entropy, ranked_sampen
 from undula.operators.transforms import by_time
-from undula.sources.signals import dealt
+from undula.sources.signals import alike, packed
 
-#: Replicates that one task of the grouped form makes of a signal, at most.
-REPS_AT_ONCE = 32
+#: Points of replicates that the grouped form makes at once, and replicates of a signal that are best made so.
+CELLS, LEAST = 1 << 18, 64
 
 
 def indices(signals: DataFrame, p: float, reps: int, seed: int) -> DataFrame:
@@ -76,34 +76,88 @@ def _draws(name: str, reps: Iterable[int], n: int, seed: int) -> np.ndarray:
 
 def index_rows(draws: np.ndarray, p: float) -> np.ndarray:
     """`indices` as an array (reps, n), from the uniform numbers."""
-    n, k = draws.shape[1], np.arange(draws.shape[1])
-    new = (draws[:, :, 0] < p) | (k == 0)
-    last = np.maximum.accumulate(np.where(new, k, 0), 1)
-    start = np.floor(draws[:, :, 1] * n).astype(np.int64) - k
-    return (np.take_along_axis(start, last, 1) + k) % n
+    return index_columns(*np.moveaxis(draws, (2, 1), (0, 1)), p).T
+
+
+def index_columns(new: np.ndarray, at: np.ndarray, p: float) -> np.ndarray:
+    """`indices` step by step: from uniform numbers (n, ...) those of the same shape."""
+    n, k = len(new), np.arange(len(new)).reshape(-1, *[1] * (new.ndim - 1))
+    begun = np.where((new < p) | (k == 0), (k << 32) | np.floor(at * n).astype(np.int64), 0)
+    begun = np.maximum.accumulate(begun, 0)  # by step first: the last block's, and where it starts
+    idx = (begun & 0xFFFFFFFF) + k - (begun >> 32)
+    return np.where(idx >= n, idx - n, idx)
+
+
+def _entropies(names: list[bytes], x: np.ndarray, trials: list[tuple[int, int, float, float]], reps: int) -> np.ndarray:
+    """(trials, signals, 1 + reps): the own entropies and the replicates' of signals of one length, the columns of x.
+
+    Names are of one length, and have the seed before them.  Replicates are made CELLS points at a time, or one by one.
+    """
+    n, signals = x.shape
+    found = np.full((len(trials), signals, 1 + reps), np.nan)
+    if n == 0:
+        return found
+    ranked = Ranked(x)
+    near = {r: ranked.near(r) for r in {r for _, _, r, _ in trials}}
+    for i, (_, m, r, _) in enumerate(trials):
+        found[i, :, 0] = ranked_sampen(ranked.rank, *near[r], m)
+    some = max(1, CELLS // (n * signals))
+    for first in range(0, reps, some):
+        mine = range(first, min(reps, first + some))
+        new, at = many(names, mine, n)
+        for p in dict.fromkeys(p for _, _, _, p in trials):
+            cells = (index_columns(new, at, p) * signals + np.arange(signals)[:, None]).reshape(n, -1)
+            rank, those = ranked.rank.ravel()[cells], [i for i, t in enumerate(trials) if t[3] == p]
+            for r in dict.fromkeys(trials[i][2] for i in those):
+                low, wide = (v.ravel()[cells] for v in near[r])
+                for i in those:
+                    if trials[i][2] == r:
+                        found[i, :, 1 + first : 1 + mine.stop] = ranked_sampen(rank, low, wide, trials[i][1]).reshape(signals, -1)
+    return found
+
+
+def _over_signals(rows: DataFrame, trials: list[tuple[int, int, float, float]], reps: int, seed: int, shown: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """For packed signals (signal_id, values): signal_id, trial and what `shown` makes of entropies (trials, signals, 1 + reps)."""
+    kind = rows.schema["signal_id"].dataType.simpleString()
+    numbers = np.array([t[0] for t in trials], np.int32)
+
+    def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, values, names = part.column("signal_id"), part.column("values"), part.column("name").to_pylist()
+            keys = [f"{seed}:{name}".encode() if name is not None else str(seed).encode() for name in names]
+            size = np.array([len(k) for k in keys])
+            for mine, x in alike(values, max(1, CELLS // (1 + min(reps, LEAST)))):
+                for long in np.unique(size[mine]):
+                    those = np.flatnonzero(size[mine] == long)
+                    found = _entropies([keys[i] for i in mine[those]], x[:, those], trials, reps)
+                    columns = shown(found)
+                    each = next(iter(columns.values())).size // (len(trials) * len(those))
+                    places = np.tile(np.repeat(mine[those], each), len(trials))
+                    trial = np.repeat(numbers, each * len(those))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(places)), pa.array(trial), *[pa.array(v.ravel()) for v in columns.values()]], ["signal_id", "trial", *columns])
+
+    named = rows.select("signal_id", F.col("signal_id").cast("string").alias("name"), "values")
+    return named.mapInArrow(batches, f"signal_id {kind}, trial int, {schema}")
 
 
 def trial_replicates(signals: DataFrame, trials: list[tuple[int, int, float, float]], reps: int, seed: int) -> DataFrame:
-    """(signal_id, trial, rep, sampen) for trials (number, m, r, p); rep is -1 for the signal's own entropy.
+    """(signal_id, trial, rep, sampen) for trials (number, m, r, p); rep is -1 for the signal's own entropy."""
 
-    A task has one signal and REPS_AT_ONCE of its replicates, for all trials: the draws are the same.
+    def shown(found: np.ndarray) -> dict[str, np.ndarray]:
+        return {"rep": np.broadcast_to(np.arange(-1, reps, dtype=np.int32), found.shape).copy(), "sampen": found}
+
+    return _over_signals(packed(signals), trials, reps, seed, shown, "rep int, sampen double")
+
+
+def trial_spread(rows: DataFrame, trials: list[tuple[int, int, float, float]], reps: int, seed: int) -> DataFrame:
+    """(signal_id, trial, sampen, se_sampen, mse) as `spread` has them, for packed signals and trials (number, m, r, p).
+
+    A signal's replicates for all trials are one task's work, with the same draws, so only what they say of the
+    signal leaves the task.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // REPS_AT_ONCE))).alias("block")
-    points = signals.select("signal_id", F.col("signal_id").cast("string").alias("name"), "timestamp", "value", blocks)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        ordered = part.sort_values(["timestamp", "value"], kind="stable")
-        x, block = ordered["value"].to_numpy(float), int(ordered["block"].iloc[0])
-        mine = np.arange(block * REPS_AT_ONCE, min(reps, (block + 1) * REPS_AT_ONCE))
-        draws = _draws(ordered["name"].iloc[0], mine, len(x), seed)
-        out = []
-        for number, m, r, p in trials:
-            found, of = sampen_rows(x[index_rows(draws, p)], m, r), mine
-            if block == 0:
-                found, of = np.append(found, sampen_rows(x[None], m, r)), np.append(of, -1)
-            out.append(pd.DataFrame({"signal_id": [ordered["signal_id"].iloc[0]] * len(of), "trial": np.int32(number), "rep": of.astype(np.int32), "sampen": found}))
-        return pd.concat(out)
-
-    kind = signals.schema["signal_id"].dataType.simpleString()
-    made = dealt(points, "signal_id", "block").groupBy("signal_id", "block").applyInPandas(one, f"signal_id {kind}, trial int, rep int, sampen double")
-    return made.withColumn("sampen", F.coalesce("sampen", F.lit(float("nan"))))  # pandas' NaN comes back as null
+
+    def shown(found: np.ndarray) -> dict[str, np.ndarray]:
+        own, made = found[..., 0], found[..., 1:]
+        return {"sampen": own, "se_sampen": (made - made[..., :1]).std(-1), "mse": ((made - own[..., None]) ** 2).mean(-1)}
+
+    return _over_signals(rows, trials, reps, seed, shown, "sampen double, se_sampen double, mse double")

@@ -77,6 +77,63 @@ def sampen_rows(x: np.ndarray, m: int, r: float) -> np.ndarray:
         return np.where(n_a > 0, -np.log(n_a / n_b) + 0.0, np.nan)
 
 
+def tally(total: np.ndarray, small: np.ndarray) -> None:
+    """Add the bytes of `small` to `total`, and set them to 0; call it before a byte passes 255."""
+    total += small
+    small[:] = 0
+
+
+class Ranked:
+    """Signals of one length, as columns, by ranks: a tolerance is a range of ranks around each point.
+
+    A point's neighbours are consecutive in order of value, as rounded differences ascend with the values, so
+    comparing ranks, which are of one or two bytes mostly, is exact and takes no floats.
+    """
+
+    def __init__(self, x: np.ndarray) -> None:
+        n = len(x)
+        self.kind = np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
+        order = np.argsort(x, axis=0, kind="stable")
+        self.sorted, self.place = np.take_along_axis(x, order, 0), np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(n)[:, None], 0)
+        self.rank = self.place.astype(self.kind)
+
+    def _before(self, holds) -> np.ndarray:
+        """For each value in order, how many of its signal's `holds`, which are the first ones, by bisection."""
+        low, high = np.zeros(self.sorted.shape, np.int64), np.full(self.sorted.shape, len(self.sorted))
+        for _ in range(len(self.sorted).bit_length()):
+            mid = (low + high) >> 1
+            yes = holds(np.take_along_axis(self.sorted, np.minimum(mid, len(self.sorted) - 1), 0) - self.sorted) & (low < high)
+            low, high = np.where(yes, mid + 1, low), np.where(yes, high, mid)
+        return low
+
+    def near(self, r: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each point the first rank that is nearer than r, and how many are."""
+        with np.errstate(invalid="ignore"):
+            low, high = self._before(lambda d: d <= -r), self._before(lambda d: d < r)
+        return tuple(np.take_along_axis(v, self.place, 0).astype(self.kind) for v in (low, high - low))
+
+
+def ranked_sampen(rank: np.ndarray, low: np.ndarray, wide: np.ndarray, m: int) -> np.ndarray:
+    """Sample entropy of each column of ranks; points' neighbours are the `wide` ranks from `low`."""
+    size = len(rank) - m
+    short, full = np.zeros((2, max(size, 0), rank.shape[1]), np.uint8)
+    n_b, n_a = np.zeros((2, *short.shape), np.int64) if size > 255 else (None, None)
+    for lag in range(1, size):
+        near = (rank[lag:] - low[:-lag]) < wide[:-lag]  # a rank below `low` wraps past `wide`
+        run = near[: size - lag]
+        for k in range(1, m):
+            run = run & near[k : size - lag + k]
+        short[: size - lag] += run.view(np.uint8)
+        full[: size - lag] += (run & near[m : size - lag + m]).view(np.uint8)
+        if n_b is not None and lag % 255 == 0:
+            tally(n_b, short)
+            tally(n_a, full)
+    b, a = (small.sum(0, dtype=np.int64) + (0 if wider is None else wider.sum(0)) for small, wider in ((short, n_b), (full, n_a)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(a > 0, -np.log(a / b) + 0.0, np.nan)
+
+
 def sampen_array(x: np.ndarray, m: int, r: float) -> float:
     """Sample entropy of one array."""
     return float(sampen_rows(np.asarray(x, float)[None], m, r)[0])

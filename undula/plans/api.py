@@ -183,10 +183,13 @@ class SampleEntropy:
     def _seed(self) -> int:
         return self.random_seed or 0
 
-    def evaluate(self, points: list[tuple[int, float, float]]) -> DataFrame:
-        """(trial, value): the objective at points (m, r, p), numbered from 0; one job for all."""
-        made = bootstrap.trial_replicates(self.signals, [(i, *point) for i, point in enumerate(points)], self.n_boot, self._seed)
-        spread = bootstrap.spread(made.where("rep >= 0"), made.where("rep < 0"), ("trial",))
+    def evaluate(self, points: list[tuple[int, float, float]], rows: DataFrame | None = None) -> DataFrame:
+        """(trial, value): the objective at points (m, r, p), numbered from 0; one job for all.
+
+        rows: the signals as source.packed has them, if they are at hand.
+        """
+        rows = source.packed(self.signals) if rows is None else rows
+        spread = bootstrap.trial_spread(rows, [(i, *point) for i, point in enumerate(points)], self.n_boot, self._seed)
         if self.objective == "sampen_eff":
             return objectives.efficiency_objective(spread, ("trial",))
         rs = F.get(F.array(*[F.lit(float(r)) for _, r, _ in points]), F.col("trial"))
@@ -216,10 +219,14 @@ class SampleEntropy:
         """Minimise the objective over n_trials seeded trials; NaN for all three, with a warning, if all fail."""
         rng = np.random.default_rng(self._seed)
         self.trials_ = []
-        while (first := len(self.trials_)) < self.n_trials:
-            points = [self._propose(rng, first + i) for i in range(min(self.batch, self.n_trials - first))]
-            values = {r.trial: r.value for r in self.evaluate(points).collect()}
-            self.trials_ += [Trial(first + i, *point, float(values[i])) for i, point in enumerate(points)]
+        rows = source.packed(self.signals).persist()
+        try:
+            while (first := len(self.trials_)) < self.n_trials:
+                points = [self._propose(rng, first + i) for i in range(min(self.batch, self.n_trials - first))]
+                values = {r.trial: r.value for r in self.evaluate(points, rows).collect()}
+                self.trials_ += [Trial(first + i, *point, float(values[i])) for i, point in enumerate(points)]
+        finally:
+            rows.unpersist()
         good = [t for t in self.trials_ if t.state == "COMPLETE"]
         if not good:
             warnings.warn("all trials failed", OptimizationFailureWarning, stacklevel=2)
@@ -238,8 +245,7 @@ class SampleEntropy:
             raise ValueError("m, r and, for the uncertainty, p must be set or found")
         out = entropy.sample_entropy(self.signals, self.m_star_, self.r_star_)
         if estimate_uncertainty:
-            made = bootstrap.trial_replicates(self.signals, [(0, self.m_star_, self.r_star_, self.p_star_)], self.n_boot, self._seed)
-            errors = made.where("rep >= 0").groupBy("signal_id").agg(F.stddev_pop("sampen").alias("se_sampen"))
+            errors = bootstrap.trial_spread(source.packed(self.signals), [(0, self.m_star_, self.r_star_, self.p_star_)], self.n_boot, self._seed).select("signal_id", "se_sampen")
             out = out.join(errors, "signal_id", "left")
         return out.withColumnRenamed("signal_id", self.signal_id)
 

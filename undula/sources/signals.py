@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,3 +71,24 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)
+
+
+def packed(signals: DataFrame) -> DataFrame:
+    """(signal_id, values): one row for each signal, its values in order of time, then value, nulls last."""
+    place = [f(c) for c in ("timestamp", "value") for f in (lambda c: F.col(c).isNull().alias(f"no_{c}"), F.col)]
+    points = dealt(signals.select("signal_id", "timestamp", "value"), "signal_id").groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("points"))
+    return points.select("signal_id", F.col("points.value").cast("array<double>").alias("values"))
+
+
+def alike(values: pa.ListArray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, x) for signals of one length at a time: their places in `values`, and a table (points, signals).
+
+    A table has at most `cells` cells, or one signal.  Null values are NaN.
+    """
+    ends = values.offsets.to_numpy()
+    flat, sizes = values.values.to_numpy(zero_copy_only=False), np.diff(ends)
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        some = max(1, cells // max(int(n), 1))
+        for i in range(0, len(rows), some):
+            yield rows[i : i + some], flat[np.arange(n)[:, None] + ends[rows[i : i + some]]]
