@@ -336,3 +336,30 @@ def test_ranks_and_grouped_draws_equal_plain_ones():
     for names, reps, n in (([b"17:1", b"17:2"], range(8, 12), 103), ([b"0:" + b"a" * 45], range(2), 11), ([b"0:" + b"a" * 60] * 2, range(2), 3)):
         want = [[[[int(hashlib.md5(b"%s:%d:%d:%d" % (a, rep, k, which)).hexdigest()[:8], 16) / 2**32 for rep in reps] for a in names] for k in range(n)] for which in (1, 2)]
         assert (draws.many(names, reps, n) == np.array(want)).all()
+
+
+def test_the_best_tolerance_takes_signals_together(spark):
+    df = varied(spark)
+    best = api.SampEnEfficiency(df, 1, (0.4, 1.0), r_step_size=0.2, interpolation_step_size=0.1)
+    assert steps(best.table()) == (1, 0) and steps(efficiency.cp_table(df, 1, best.rs)) == (1, 0)
+    got = {(x.signal_id, x.r): (x.cp, x.sd) for x in efficiency.cp_table(df, 1, best.rs).collect()}
+    values = {k: [x.value for x in df.where(df.signal_id == k).orderBy("timestamp").collect()] for k in ("a", "bb", "ccc", "d", "e")}
+    assert len(got) == 6 * len(best.rs)
+    for k, x in values.items():
+        for r in best.rs:
+            assert got[k, r] == pytest.approx(plain_cp(x, 1, r) if k != "e" else (math.nan, math.nan), nan_ok=True)
+
+
+@pytest.mark.parametrize("n", [4, 6, 7, 40, 300])
+@pytest.mark.parametrize("m", [1, 2])
+def test_columns_of_signals_equal_plain_counting(n, m):
+    rng = np.random.default_rng(n)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 6, n) * 0.1, np.full(n, 3.0)])
+    cp, sd = efficiency.cp_and_sd_columns(x, m, [0.3, 0.9])
+    for i, r in enumerate([0.3, 0.9]):
+        for k in range(3):
+            try:
+                want = plain_cp(list(x[:, k]), m, r) if n >= 2 * (m + 1) else (math.nan, math.nan)
+            except ZeroDivisionError:  # no match of length m
+                want = math.nan, math.nan
+            assert (cp[i, k], sd[i, k]) == pytest.approx(want, nan_ok=True)

@@ -8,14 +8,18 @@ near the signal's start, and the last point's row stays empty.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.sources.signals import dealt
+from undula.operators.entropy import tally
+from undula.sources.signals import alike, packed
+
+#: Points of signals that are worked off together.
+CELLS = 1 << 15
 
 
 def cp_and_sd(x: np.ndarray, m: int, r: float) -> tuple[float, float]:
@@ -23,67 +27,83 @@ def cp_and_sd(x: np.ndarray, m: int, r: float) -> tuple[float, float]:
 
     NaN for both if the signal has fewer than 2 (m + 1) points, or no match of length m.
     """
-    x = np.asarray(x, float)
-    n, top = len(x), m + 1
-    width = 2 * top
-    if n < width:
-        return float("nan"), float("nan")
-    run1, run2 = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
-    ahead, either = np.zeros((n, top), np.int64), np.zeros((n, top), np.int64)
-    a, b = np.zeros(top), np.zeros(top)
-    run = np.zeros(n, np.int64)  # by lag - 1
-    for i in range(n - 1):
-        size = n - 1 - i
-        near = np.abs(x[i + 1 :] - x[i]) < r
-        run[:size] = np.where(near, run[:size] + 1, 0)
-        for q in range(top):
-            hit = np.flatnonzero(run[:size] > q)
-            a[q] += len(hit)
-            b[q] += int((hit < size - 1).sum())
-            ahead[i, q] += len(hit)
-            either[i, q] += len(hit)
-            either[hit + i + 1, q] += 1
-        run1[i] = run[:width]
-    for i in range(1, n):
-        j = np.arange(min(width, i - 1 if i < width else width))
-        j = j[i - j - 1 >= 0]
-        run2[i, j] = run1[i - j - 1, j]
-    behind = either - ahead
-    pairs = np.zeros((top, top + 1))
-    pairs[:, 0] = (either * (either - 1)).sum(0)
-    b = np.concatenate(([n * (n - 1) / 2], b[:-1]))
-    if b[top - 1] == 0:
-        return float("nan"), float("nan")
+    cp, sd = cp_and_sd_columns(np.asarray(x, float)[:, None], m, [r])
+    return float(cp[0, 0]), float(sd[0, 0])
+
+
+def cp_and_sd_columns(x: np.ndarray, m: int, rs: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """cp_and_sd of each column for each tolerance, as (tolerances, columns), lag by lag.
+
+    Counts are of runs of near points of m and of m + 1; they are (tolerances, 2, points, columns).
+    """
+    n, columns = x.shape
+    shape = (len(rs), 2, n, columns)
+    if n < 2 * (m + 1):
+        return np.full((2, len(rs), columns), np.nan)
+    ahead, behind = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    more_ahead, more_behind = np.zeros(shape, np.uint8), np.zeros(shape, np.uint8)
+    cells = np.zeros((2 * m, *shape), bool)  # the runs of short lags, by the earlier point
+    for lag in range(1, n):
+        size = n - lag
+        with np.errstate(invalid="ignore"):
+            gap = np.abs(x[lag:] - x[:-lag])
+        runs = np.empty((len(rs), 2, size, columns), bool)
+        for each, r in zip(runs, rs, strict=True):
+            near = gap < r
+            run = near.copy()
+            for q in range(1, m + 1):
+                if q == m:
+                    each[0] = run
+                run[q:] &= near[:-q]
+                run[:q] = False
+            each[1] = run
+        more_ahead[:, :, :size] += runs.view(np.uint8)
+        more_behind[:, :, lag:] += runs.view(np.uint8)
+        if lag <= 2 * m:
+            cells[lag - 1][:, :, :size] = runs
+            cells[lag - 1][:, :, size:-1] = runs[:, :, -1:]
+        if lag % 255 == 0 or lag == n - 1:
+            tally(ahead, more_ahead)
+            tally(behind, more_behind)
+    either = ahead + behind
+    a, b = ahead[:, 1].sum(1), behind[:, 0, :-1].sum(1)
+    pairs = (either * (either - 1)).sum(2)
+    inside, outside = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    for d in range(m):
+        for lag in (2 * d + 1, 2 * d + 2):
+            inside[:, :, lag + 1 :] += cells[lag - 1][:, :, 1 : n - lag]
+        outside += cells[2 * d]
+        pairs += 2 * ((either - inside)[:, :, d + 1 :] * (either - outside)[:, :, : n - d - 1]).sum(2)
+        outside += cells[2 * d + 1]
     with np.errstate(divide="ignore", invalid="ignore"):
         p = a / b
-        variance = p * (1 - p) / b
-    for q in range(top):
-        for d in range(min(q + 1, top - 1) + 1):
-            later, earlier = np.arange(d + 1, n), np.arange(0, n - d - 1)
-            n2 = behind[later, q] - (run2[later, : min(width, 2 * (d + 1))] > q).sum(1)
-            n3 = ahead[earlier, q] - (run1[earlier, : min(width, 2 * d + 1)] > q).sum(1)
-            if d + 1 <= top:
-                pairs[q, d + 1] += 2 * ((ahead[later, q] + n2) * (n3 + behind[earlier, q])).sum()
-    first = np.concatenate(([n * (n - 1.0) * (n - 2.0)], [pairs[q, : q + 2].sum() for q in range(top - 1)]))
-    second = np.array([pairs[q, : q + 1].sum() for q in range(top)])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        more = np.maximum(0, (second - first * p * p) / (b * b))
-    return float(p[top - 1]), float(math.sqrt(variance[top - 1] + more[top - 1]))
+        first, second = pairs[:, 0].astype(float), pairs[:, 1].astype(float)
+        sd = np.sqrt(p * (1 - p) / b + np.maximum(0, (second - first * p * p) / (b.astype(float) * b)))
+    return np.where(b > 0, p, np.nan), np.where(b > 0, sd, np.nan)
 
 
-def cp_table(signals: DataFrame, m: int, rs: list[float]) -> DataFrame:
-    """(signal_id, r, cp, sd) for each signal and tolerance, one task for each pair of them."""
+def cp_grid(signals: DataFrame, grid: dict[int, list[float]]) -> DataFrame:
+    """(signal_id, m, r, cp, sd) for each signal, each m and its tolerances, from one pass over the signals.
+
+    Signals of one length are worked off together, CELLS points at a time, or one by one.
+    """
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        ordered = part.sort_values(["timestamp", "value"], kind="stable")
-        cp, sd = cp_and_sd(ordered["value"].to_numpy(), m, float(ordered["r"].iloc[0]))
-        return pd.DataFrame({"signal_id": ordered["signal_id"].iloc[:1], "r": ordered["r"].iloc[:1], "cp": [cp], "sd": [sd]})
+    def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = part.column("signal_id")
+            for m, rs in grid.items():
+                for rows, x in alike(part.column("values"), CELLS):
+                    cp, sd = cp_and_sd_columns(x, m, rs)
+                    places, r = np.tile(rows, len(rs)), np.repeat(np.array(rs, float), len(rows))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(places)), pa.array(np.full(len(r), m, np.int32)), pa.array(r), pa.array(cp.ravel()), pa.array(sd.ravel())], ["signal_id", "m", "r", "cp", "sd"])
 
-    grid = signals.select("signal_id", "timestamp", "value", F.explode(F.array(*[F.lit(float(r)) for r in rs])).alias("r"))
     kind = signals.schema["signal_id"].dataType.simpleString()
-    made = dealt(grid, "signal_id", "r").groupBy("signal_id", "r").applyInPandas(one, f"signal_id {kind}, r double, cp double, sd double")
-    nan = F.lit(float("nan"))  # pandas' NaN comes back as null
-    return made.withColumns({"cp": F.coalesce("cp", nan), "sd": F.coalesce("sd", nan)})
+    return packed(signals).mapInArrow(batches, f"signal_id {kind}, m int, r double, cp double, sd double")
+
+
+def cp_table(signals: DataFrame, m: int, rs: list[float]) -> DataFrame:
+    """(signal_id, r, cp, sd) for each signal and tolerance."""
+    return cp_grid(signals, {m: rs}).drop("m")
 
 
 def criterion(table: DataFrame) -> DataFrame:
