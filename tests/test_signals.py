@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from undula.functions import draws
 from undula.operators import bootstrap, efficiency, entropy, gaussian, transforms, unit_root
-from undula.plans import api, numeric_sql
+from undula.plans import api, catalog, numeric_sql
 from undula.sources import signals as source
 
 
@@ -325,6 +325,19 @@ def test_a_search_makes_each_replicate_once(spark):
             assert got[x.signal_id, some[grid.index((x.m, x.r))]] == pytest.approx((x.sampen, x.se_sampen, x.mse), nan_ok=True)
 
 
+def test_efficiency_by_bootstrap_makes_each_replicate_once(spark):
+    df = varied(spark)
+    best = api.SampEnEfficiency(df, 1, (0.4, 0.8), r_step_size=0.2, interpolation_step_size=0.1, objective="bootstrap", n_boot=20)
+    assert steps(best.table()) == (1, 0)
+    got = {(x.signal_id, x.r): x.objective for x in best.table().collect()}
+    assert len(got) == 6 * len(best.rs)
+    for r in best.rs:
+        own = {x.signal_id: x.sampen for x in entropy.sample_entropy(df, 1, r).collect()}
+        for x in bootstrap.standard_error(df, 1, r, 0.5, 20, 0).collect():
+            s, se = own[x.signal_id], x.se_sampen
+            assert got[x.signal_id, r] == pytest.approx(se if math.isnan(s) or s == 0 else max(se, se / s), nan_ok=True)
+
+
 def test_ranks_and_grouped_draws_equal_plain_ones():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 255, 256, 700):

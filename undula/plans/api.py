@@ -297,8 +297,7 @@ class SampEnEfficiency:
         if self.objective == "counting":
             return efficiency.criterion(efficiency.cp_table(self.signals, self.m, self.rs)).select("signal_id", "r", "objective")
         trials = [(i, self.m, r, self.p) for i, r in enumerate(self.rs)]
-        made = bootstrap.trial_replicates(self.signals, trials, self.n_boot, self.random_seed or 0)
-        spread = bootstrap.spread(made.where("rep >= 0"), made.where("rep < 0"), ("trial",))
+        spread = bootstrap.trial_spread(source.packed(self.signals), trials, self.n_boot, self.random_seed or 0)
         rs = F.get(F.array(*map(F.lit, self.rs)), F.col("trial"))
         return spread.select("signal_id", rs.alias("r"), objectives.relative_error().alias("objective"))
 
