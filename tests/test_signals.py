@@ -376,3 +376,24 @@ def test_columns_of_signals_equal_plain_counting(n, m):
             except ZeroDivisionError:  # no match of length m
                 want = math.nan, math.nan
             assert (cp[i, k], sd[i, k]) == pytest.approx(want, nan_ok=True)
+
+
+def events(spark, folder):
+    """Some users' events beside which a query finds its SQL's."""
+    rng = np.random.default_rng(12)
+    rows = [(100 * u + i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), u, "x", float(v)) for u, n in ((1, 40), (2, 40), (30, 55), (400, 25)) for i, v in enumerate(rng.exponential(40, n).round(2))]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet")
+    return str(folder)
+
+
+def by_sql(folder, name, columns):
+    """Rows of the query's SQL."""
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        return sorted(connection.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE_SQL[name]}) q").fetchall(), key=str)
+
+
+def test_conditional_probabilities_of_a_grid_take_one_pass(spark, tmp_path):
+    made = catalog.QUERIES["cp_grid"](spark, events(spark, tmp_path))
+    assert steps(made) == (1, 0)
+    assert made.columns == ["signal_id", "cp", "m", "r"] and sorted(map(tuple, made.collect()), key=str) == by_sql(tmp_path, "cp_grid", made.columns)

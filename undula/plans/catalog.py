@@ -109,11 +109,8 @@ def _optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cp_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional probabilities by the efficiency criterion's kernel."""
-    signals, out = _signals(spark, sf_dir), None
-    for m in sorted({m for m, _ in GRID}):
-        each = efficiency.cp_table(signals, m, [r for k, r in GRID if k == m]).select("signal_id", "cp", F.lit(m).alias("m"), "r")
-        out = each if out is None else out.unionByName(each)
-    return out
+    found = efficiency.cp_grid(_signals(spark, sf_dir), {m: [r for k, r in GRID if k == m] for m in sorted({m for m, _ in GRID})})
+    return found.select("signal_id", "cp", "m", "r")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
