@@ -397,3 +397,11 @@ def test_conditional_probabilities_of_a_grid_take_one_pass(spark, tmp_path):
     made = catalog.QUERIES["cp_grid"](spark, events(spark, tmp_path))
     assert steps(made) == (1, 0)
     assert made.columns == ["signal_id", "cp", "m", "r"] and sorted(map(tuple, made.collect()), key=str) == by_sql(tmp_path, "cp_grid", made.columns)
+
+
+def test_trials_of_the_grouped_form_leave_one_row_for_each_signal(spark, tmp_path):
+    folder = events(spark, tmp_path)
+    made = catalog.QUERIES["mse_objective_trials"](spark, folder)
+    assert steps(made) == (1, 0)
+    assert sorted(map(tuple, made.collect()), key=str) == by_sql(tmp_path, "mse_objective_trials", made.columns)
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, catalog.QUERIES["mse_objective_grid"](spark, folder).select(*made.columns).collect()), key=str)
