@@ -405,3 +405,9 @@ def test_trials_of_the_grouped_form_leave_one_row_for_each_signal(spark, tmp_pat
     assert steps(made) == (1, 0)
     assert sorted(map(tuple, made.collect()), key=str) == by_sql(tmp_path, "mse_objective_trials", made.columns)
     assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, catalog.QUERIES["mse_objective_grid"](spark, folder).select(*made.columns).collect()), key=str)
+
+
+def test_the_criterion_sends_each_point_once_for_all_tolerances(spark, tmp_path):
+    made = catalog.QUERIES["cp_sd"](spark, events(spark, tmp_path))
+    assert steps(made) == (1, 0) and "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect()), key=str) == by_sql(tmp_path, "cp_sd", made.columns)
