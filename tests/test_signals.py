@@ -411,3 +411,15 @@ def test_the_criterion_sends_each_point_once_for_all_tolerances(spark, tmp_path)
     made = catalog.QUERIES["cp_sd"](spark, events(spark, tmp_path))
     assert steps(made) == (1, 0) and "Generate" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, made.collect()), key=str) == by_sql(tmp_path, "cp_sd", made.columns)
+
+
+def test_replicates_made_in_parts_equal_those_made_at_once(monkeypatch):
+    """As many signals have them: replicates, and the texts of their draws, in several parts."""
+    x, names, trials = np.random.default_rng(3).normal(size=(21, 7)), [b"17:%d" % k for k in range(7)], [(0, 1, 0.5, 0.3), (1, 2, 0.5, 0.3), (2, 2, 0.9, 0.6)]
+    whole = bootstrap._entropies(names, x, trials, 12)
+    monkeypatch.setattr(bootstrap, "CELLS", 5 * x.size)
+    monkeypatch.setattr(draws, "_KEPT", 2 * 21 * 5 * 3)
+    assert np.array_equal(bootstrap._entropies(names, x, trials, 12), whole, equal_nan=True)
+    for i, (_, m, r, p) in enumerate(trials):
+        rows = x[bootstrap.index_rows(bootstrap._draws("3", range(12), 21, 17), p), 3]
+        assert whole[i, 3] == pytest.approx([*entropy.sampen_rows(x[:, 3][None], m, r), *entropy.sampen_rows(rows, m, r)], nan_ok=True)
