@@ -4,6 +4,7 @@ import math
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,3 +424,15 @@ def test_replicates_made_in_parts_equal_those_made_at_once(monkeypatch):
     for i, (_, m, r, p) in enumerate(trials):
         rows = x[bootstrap.index_rows(bootstrap._draws("3", range(12), 21, 17), p), 3]
         assert whole[i, 3] == pytest.approx([*entropy.sampen_rows(x[:, 3][None], m, r), *entropy.sampen_rows(rows, m, r)], nan_ok=True)
+
+
+def test_signals_of_one_length_are_one_table_up_to_its_cells():
+    lists = [[9.0], [1.0, 2.0], [], [3.0, None], [5.0], [6.0, 7.0], [8.0, 9.0]]
+    made = [(rows.tolist(), x.T.tolist()) for rows, x in source.alike(pa.array(lists, pa.list_(pa.float64())).slice(1), 4)]
+    assert [rows for rows, _ in made] == [[1], [3], [0, 2], [4, 5]]
+    for rows, x in made:
+        assert np.array_equal(x, np.array([lists[1:][i] for i in rows], float), equal_nan=True)
+    rng = np.random.default_rng(5)
+    many = pa.array([rng.normal(size=n).tolist() for n in rng.integers(45, 100, 3000)])
+    tables = [x.shape for _, x in source.alike(many, efficiency.CELLS)]
+    assert sum(k for _, k in tables) == 3000 and len(tables) == 55 and max(n * k for n, k in tables) <= efficiency.CELLS
